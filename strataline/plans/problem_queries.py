@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.common import best_per_key, table
+from strataline.common import best_per_key, stage, table
 from strataline.operators.change_feed import apply_changes
+from strataline.operators import drift
 from strataline.operators.nested import job_run_tables
 from strataline.operators.percentiles import combine, percentiles, value_counts
 from strataline.sources.bad_rows import split_rows
@@ -46,6 +47,19 @@ def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("level", "shape", "n")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a file against the file before it in its feed."""
+    sketches = stage(drift.profile(table(spark, sf_dir, "job_run_files")))
+    return drift.changes(sketches).select("feed", "file_no", "change_kind", "field_path", "new_path")
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files as one table, fields under their first names."""
+    lines = table(spark, sf_dir, "job_run_files")
+    sketches = stage(drift.profile(lines))
+    return drift.unify(lines, sketches, drift.changes(sketches))
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of run time and bytes written per team, combined from day-wise value counts."""
     runs = table(spark, sf_dir, "job_runs_sample").select(
@@ -76,4 +90,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "table_name", "row_id", "checkpoint_token")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p3_percentiles, p6_found, p6_people, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p2_found, p2_unified, p3_percentiles, p6_found, p6_people, p7_found)}
