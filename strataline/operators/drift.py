@@ -27,7 +27,7 @@ from strataline.common import salted_lookup, stage
 #: same ones. Kinds, bins and keys are always whole.
 SKETCH_TOKENS = 256
 #: Least score of a pair of fields to count as a rename.
-RENAME_SCORE = 0.5
+RENAME_SCORE = 0.4
 
 _KINDS = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
 _WORD = re.compile(r"[^\W_]+")
@@ -142,6 +142,16 @@ def _bins_overlap(a: Counter, b: Counter) -> float:
     return max(0.0, 1 - np.abs(np.cumsum(x / x.sum()) - np.cumsum(y / y.sum())).sum() / 6)
 
 
+def _plain(sketch: Counter) -> Counter:
+    """A sketch whose numbers are all 0 or 1 read as booleans."""
+    if any(f[:2] == "n:" and f not in ("n:0", "n:2") for f in sketch):
+        return sketch
+    out: Counter = Counter()
+    for f, n in sketch.items():
+        out[{"n:0": "b:false", "n:2": "b:true"}.get(f, f)] += n
+    return out
+
+
 def content_similarity(a: Counter, b: Counter) -> float:
     """Likeness of two value sketches, 0 to 1: by the kind of content that most values of the first have."""
     split = lambda s: {c: Counter({f[2:]: n for f, n in s.items() if f[:2] == c}) for c in ("t:", "n:", "b:", "o:")}
@@ -163,6 +173,7 @@ def pair_score(old: str, a: Counter, new: str, b: Counter) -> float:
     Texts and objects are recognised by what they hold; numbers and booleans, whose values say less, need
     a likeness of names or the same parent besides.
     """
+    a, b = _plain(a), _plain(b)
     content, name = content_similarity(a, b), name_similarity(old, new)
     top = Counter()
     for f, n in a.items():
@@ -180,7 +191,7 @@ def pair_score(old: str, a: Counter, new: str, b: Counter) -> float:
     if kind == "b:":
         same_parent = old.rpartition(".")[0] == new.rpartition(".")[0]
         return content * (0.55 * content + 0.45 * max(name, 0.3 if same_parent else 0.0)) if content > 0.75 or name > 0.5 else 0.0
-    return content * (0.3 + 0.7 * name)
+    return min(1.0, content * (0.3 + name))
 
 
 def assign(score: np.ndarray) -> list[tuple[int, int]]:
