@@ -62,6 +62,12 @@ def stage(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def epoch_micros(name: str) -> Column:
+    """Microseconds since 1970 of a timestamp column without zone that means UTC, in any session zone."""
+    utc = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(name).cast("timestamp_ntz"))
+    return F.unix_micros(utc.cast("timestamp"))
+
+
 def best_per_key(df: DataFrame, keys: list[str], payload: list[str], order: list[Column]) -> DataFrame:
     """The row with the greatest ``order`` for each key, as an aggregate with map-side combine.
 

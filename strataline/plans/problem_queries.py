@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.common import best_per_key, stage, table
+from strataline.common import best_per_key, epoch_micros, stage, table
 from strataline.operators.change_feed import apply_changes
-from strataline.operators import drift
+from strataline.operators import drift, spikes
 from strataline.operators.nested import job_run_tables
 from strataline.operators.percentiles import combine, percentiles, value_counts
 from strataline.sources.bad_rows import split_rows
@@ -64,7 +64,7 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of run time and bytes written per team, combined from day-wise value counts."""
     runs = table(spark, sf_dir, "job_runs_sample").select(
         "run_id", "received_at", F.col("settings.tags.team").alias("team"),
-        F.to_date(F.timestamp_millis("created_time")).alias("day"),
+        F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_time") / 86_400_000).cast("int")).alias("day"),
         F.col("metrics.duration_ms").alias("duration_ms"), F.col("metrics.bytes_written").cast("double").alias("bytes_written"),
     )
     once = best_per_key(runs, ["run_id"], ["team", "day", "duration_ms", "bytes_written"], [F.col("received_at")])
@@ -74,6 +74,17 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("team", "metric", "fraction", F.round("value", 3).alias("value"), "n", "rank_error")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose duration is impossible, stuck or a spike of its job."""
+    runs = table(spark, sf_dir, "job_runs_sample").select(
+        "run_id", "job_id", "created_time", "received_at", F.col("metrics.duration_ms").alias("value"), F.col("metrics.success").alias("ok")
+    )
+    once = best_per_key(runs, ["run_id"], ["job_id", "created_time", "received_at", "value", "ok"], [F.col("received_at")])
+    most = (epoch_micros("received_at") / 1000 - F.col("created_time")).alias("most")
+    readings = once.select(F.col("job_id").alias("source"), F.col("run_id").alias("id"), F.col("created_time").alias("at"), "value", "ok", most)
+    return spikes.implausible(readings).select(F.col("source").alias("job_id"), F.col("id").alias("run_id"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that fail to parse, with the first reason."""
     return split_rows(table(spark, sf_dir, "people_raw"))[1].select("file_no", "line_no", "reason")
@@ -90,4 +101,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "table_name", "row_id", "checkpoint_token")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p2_found, p2_unified, p3_percentiles, p6_found, p6_people, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p2_found, p2_unified, p3_percentiles, p5_found, p6_found, p6_people, p7_found)}
