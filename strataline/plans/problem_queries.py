@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataline.common import best_per_key, epoch_micros, stage, table
 from strataline.operators.change_feed import apply_changes
-from strataline.operators import drift, spikes
+from strataline.operators import drift, load_profile, spikes
 from strataline.operators.nested import job_run_tables
 from strataline.operators.percentiles import combine, percentiles, value_counts
 from strataline.sources.bad_rows import split_rows
@@ -74,6 +74,32 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("team", "metric", "fraction", F.round("value", 3).alias("value"), "n", "rank_error")
 
 
+PEOPLE = ["id", "name", "score", "active", "grp", "badge"]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of loads that are out of line with the site's other loads or with their report."""
+    values, counts = load_profile.profile(table(spark, sf_dir, "people"), "site", "load_no", PEOPLE)
+    told = table(spark, sf_dir, "column_profile").withColumnsRenamed({"site": "source", "load_no": "load"})
+    found = load_profile.departures(values, counts, {"score": (0.0, 100.0)}).unionByName(load_profile.reported_wrong(counts, told))
+    return found.select(F.col("source").alias("site"), F.col("load").alias("load_no"), "column_name").distinct()
+
+
+def p4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of every column of every load."""
+    _, counts = load_profile.profile(table(spark, sf_dir, "people"), "site", "load_no", PEOPLE)
+    return counts.select(
+        F.col("source").alias("site"), F.col("load").alias("load_no"), "column_name", "row_count", "null_count", "distinct_count",
+        F.round("min_value", 4).alias("min_value"), F.round("max_value", 4).alias("max_value"), F.round("mean_value", 4).alias("mean_value"),
+    )
+
+
+def p4_conformity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of the induced expressions per load and text column."""
+    values, _ = load_profile.profile(table(spark, sf_dir, "people"), "site", "load_no", PEOPLE)
+    return load_profile.conformity(values).withColumnsRenamed({"source": "site", "load": "load_no"})
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs whose duration is impossible, stuck or a spike of its job."""
     runs = table(spark, sf_dir, "job_runs_sample").select(
@@ -101,4 +127,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "table_name", "row_id", "checkpoint_token")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p2_found, p2_unified, p3_percentiles, p5_found, p6_found, p6_people, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p2_found, p2_unified, p3_percentiles, p4_found, p4_profiles, p4_conformity, p5_found, p6_found, p6_people, p7_found)}
