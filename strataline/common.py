@@ -96,3 +96,17 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     """``name``: the sum of ``value`` over the rows before this one; for small tables of counts only."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("bigint"))
+
+
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over the rows of the group before this one, for groups of any size.
+
+    Rows are range-partitioned by (group, order); sums within (group, partition) are added to the
+    group's sums in earlier partitions. ``order`` must be unique in a group for a definite result. Keeps ``pid``.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = stage(df.repartitionByRange(parts, *group, *order).withColumn("pid", F.spark_partition_id()))
+    held = spread.groupBy(*group, "pid").agg(F.sum(value).alias("__held"))
+    offsets = running_total(held, group, ["pid"], "__held", "__offset").drop("__held")
+    local = running_total(spread, [*group, "pid"], order, value, "__local")
+    return local.join(offsets, [*group, "pid"]).withColumn(name, F.col("__local") + F.col("__offset")).drop("__local", "__offset")
