@@ -45,12 +45,12 @@ def combine(*partials: DataFrame) -> DataFrame:
     return out
 
 
-def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[float], *, partitions: int | None = None) -> DataFrame:
+def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[float], *, method: str = "linear", partitions: int | None = None) -> DataFrame:
     """Percentiles of each group: columns groups, ``fraction``, ``value``, ``n`` (values in the group) and
     ``rank_error`` (0, the order statistics are exact).
 
     The percentile p of n sorted values is the linear interpolation at position (n-1)*p, as in SQL's
-    PERCENTILE_CONT. Groups without a number give no rows. Fractions must lie in 0 to 1.
+    PERCENTILE_CONT; with ``method="nearest"`` it is the value at the nearest position, halves upwards. Groups without a number give no rows. Fractions must lie in 0 to 1.
     """
     if any(not 0 <= p <= 1 for p in fractions):
         raise ValueError("fractions must lie between 0 and 1")
@@ -73,7 +73,8 @@ def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[f
     offsets = running_total(counts, ["gid"], ["pid"], "held", "offset").join(totals, "gid")
     wanted = offsets.withColumn("fraction", F.explode(F.array(*[F.lit(float(p)) for p in fractions])))
     at = (F.col("total") - 1) * F.col("fraction")
-    wanted = wanted.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))).filter(
+    ranks = F.array(F.floor(at + 0.5)) if method == "nearest" else F.array_distinct(F.array(F.floor(at), F.ceil(at)))
+    wanted = wanted.withColumn("rank", F.explode(ranks)).filter(
         (F.col("rank") >= F.col("offset")) & (F.col("rank") < F.col("offset") + F.col("held"))
     )
     # Only partitions holding a wanted position are scanned again; a (partition, group) slice is bounded by
