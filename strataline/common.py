@@ -30,7 +30,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="strataline-shared-")
-    spark.conf.set("spark.checkpoint.dir", root)
+    atexit.register(_remove, spark, root)
     return root
 
 
