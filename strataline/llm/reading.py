@@ -30,7 +30,7 @@ LABEL_LIMIT, PAIRS, BUCKETS = 8000, 200_000, 1 << 15
 FREQUENCIES = 1 << 17
 LEVELS = (1, 2, 3, 4)
 
-_SENTENCE = re.compile(r"[.!?;:\n]+")
+_SENTENCE = re.compile(r"[.!?;:]+|\n\s*\n")
 DENSE = 9
 #: A word found in at most FEW + FEW_SHARE x documents is a name or a code: it says nothing about the level.
 FEW, FEW_SHARE = 4, 5e-5
