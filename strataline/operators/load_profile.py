@@ -27,6 +27,9 @@ CHANCE, EFFECT, SHIFT = 6.0, 0.06, 0.15
 #: points of numeric distributions; widths by which a value must leave the usual range.
 MIN_LOADS, CATEGORIES, CUTS, REACH = 4, 64, 20, 1.5
 
+#: Bits to keep one more expression in the list, whatever it says.
+EXPRESSION_BITS = 16.0
+
 UNIT = ["source", "load", "column_name"]
 
 
@@ -81,7 +84,7 @@ def expressions(values: DataFrame) -> DataFrame:
     )
     free = F.col("chars") * math.log2(96) + F.col("values") * F.log2(F.col("longest") + 1)
     spread = F.log2(F.col("longest") - F.col("shortest") + 1) * runs * F.col("values")
-    own = F.col("digits") * math.log2(10) + F.col("letters") * math.log2(26) + spread + F.length("shape") * math.log2(96) + runs * 2 * math.log2(64)
+    own = F.col("digits") * math.log2(10) + F.col("letters") * math.log2(26) + spread + F.length("shape") * math.log2(96) + runs * 2 * math.log2(64) + EXPRESSION_BITS
     quoted = F.regexp_replace("shape", r"([^\p{L}\p{N}\s])", r"\\$1")
     expression = F.regexp_replace(F.regexp_replace(F.regexp_replace(quoted, "A", r"\\p{Lu}+"), r"(?<!\\p\{L)a", r"\\p{Ll}+"), "9", "[0-9]+")
     return coded.filter(own < free).select("source", "column_name", "shape", F.concat(F.lit("^"), expression, F.lit("$")).alias("expression"))
