@@ -27,7 +27,7 @@ from strataline.common import salted_lookup, stage
 #: same ones. Kinds, bins and keys are always whole.
 SKETCH_TOKENS = 256
 #: Least score of a pair of fields to count as a rename.
-RENAME_SCORE = 0.4
+RENAME_SCORE = 0.25
 
 _KINDS = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
 _WORD = re.compile(r"[^\W_]+")
@@ -180,8 +180,8 @@ def pair_score(old: str, a: Counter, new: str, b: Counter) -> float:
         if f[:2] in ("t:", "n:", "b:", "o:"):
             top[f[:2]] += n
     kind = top.most_common(1)[0][0] if top else ""
-    if not kind:  # nothing but nulls: only the name speaks
-        return 0.6 if name == 1.0 else 0.0
+    if not kind or not any(f[:2] in ("t:", "n:", "b:", "o:") for f in b):  # nothing but nulls: only the names speak
+        return 0.6 * name if name >= 0.75 else 0.0
     if content <= 0.05:
         return 0.0
     if kind == "t:":

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from strataline.common import stage
 
 #: A departure must exceed CHANCE standard errors and EFFECT in share; distributions (greatest difference of the
-#: cumulative shares) and repetition must exceed SHIFT.
-CHANCE, EFFECT, SHIFT = 6.0, 0.06, 0.15
+#: cumulative shares) and repetition, which are smoother, must exceed SHIFT_CHANCE and SHIFT.
+CHANCE, EFFECT, SHIFT_CHANCE, SHIFT = 6.0, 0.08, 5.0, 0.15
 #: Least loads of a source for comparisons; most distinct values of a column to compare them one by one; cut
 #: points of numeric distributions; widths by which a value must leave the usual range.
 MIN_LOADS, CATEGORIES, CUTS, REACH = 4, 64, 20, 1.5
@@ -150,10 +150,11 @@ def departures(values: DataFrame, counts: DataFrame, domains: dict[str, tuple[fl
     safe = (F.col("usual") * F.col("n") + 0.5) / (F.col("n") + 1)
     error = F.sqrt(safe * (1 - safe) / F.col("n") + F.col("spread") * F.col("spread"))
     gap = F.abs(F.col("share") - F.col("usual"))
-    least = F.when(F.col("kind").isin("distribution", "repetition"), F.lit(SHIFT)).otherwise(F.lit(EFFECT))
+    smooth = F.col("kind").isin("distribution", "repetition")
+    least, chance = F.when(smooth, F.lit(SHIFT)).otherwise(F.lit(EFFECT)), F.when(smooth, F.lit(SHIFT_CHANCE)).otherwise(F.lit(CHANCE))
     # Repetition grows with the load where values are few anyway; the mix is compared there instead.
     fits = (F.col("kind") != "repetition") | (F.col("usual") < 0.5)
-    shifted = each.filter((gap > CHANCE * error) & (gap > least) & fits).select("source", "load", "column_name", F.col("kind").alias("reason"), F.col("feature").alias("detail"), (gap / error).alias("score"))
+    shifted = each.filter((gap > chance * error) & (gap > least) & fits).select("source", "load", "column_name", F.col("kind").alias("reason"), F.col("feature").alias("detail"), (gap / error).alias("score"))
     ends = counts.filter("min_value is not null")
     usual = ends.groupBy("source", "column_name").agg(F.percentile("min_value", F.lit(0.5)).alias("low"), F.percentile("max_value", F.lit(0.5)).alias("high"), F.count(F.lit(1)).alias("loads"))
     width = F.col("high") - F.col("low")

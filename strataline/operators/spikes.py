@@ -25,7 +25,7 @@ from strataline.common import salted_lookup, stage
 #: Least runs of a source to have a normal behaviour; least equal readings in a row; least factor between a
 #: spike and ordinary readings (stated as "about three"); readings beyond a gap count as recurring
 #: when they are more than RECUR_RUNS and more than RECUR_SHARE of the source's.
-MIN_RUNS, STUCK_RUNS, FACTOR, RECUR_RUNS, RECUR_SHARE = 40, 6, 2.9, 3, 0.03
+MIN_RUNS, STUCK_RUNS, FACTOR, RECUR_RUNS, RECUR_SHARE = 40, 6, 2.9, 3, 0.053
 #: Order statistics of a day's readings that form its profile, beside the least and the greatest.
 PROFILE = [0.1, 0.25, 0.5, 0.75, 0.9]
 #: Width of the logarithmic value bins; each keeps its exact least and greatest reading.
