@@ -4,23 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.operators.percentiles import percentiles
 
-#: Up to so many values a group is sorted in one array; beyond, by the distributed sort. Both are exact.
-ARRAY_LIMIT = 500_000
+#: Up to so many different values a group is ranked in one task; beyond, by the distributed sort. Both are exact.
+ONE_TASK = 500_000
+
+
+def nearest_of_counts(counts: DataFrame, group: str, fractions: Sequence[float]) -> DataFrame:
+    """(group, fraction, value) from value counts (group, value, n); groups without values give no rows."""
+    clean = counts.select(F.col(group), "value", "n").filter("value is not null and not isnan(value)")
+    totals = clean.groupBy(group).agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("total")).withColumnRenamed(group, "__g")
+    largest = totals.agg(F.max("d")).first()[0] or 0
+    if largest > ONE_TASK:
+        return percentiles(clean, [group], fractions, method="nearest").select(group, "fraction", "value")
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = clean.withColumn("upto", upto).join(totals, F.col(group).eqNullSafe(F.col("__g")))
+
+    def here(q: Column) -> Column:
+        rank = F.floor((F.col("total") - 1) * q + 0.5)
+        return (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
+
+    hit = F.filter(F.array(*[F.lit(float(q)) for q in fractions]), here)
+    return ranked.select(group, F.explode(hit).alias("fraction"), "value")
 
 
 def nearest_quantiles(long: DataFrame, group: str, value: str, fractions: Sequence[float]) -> DataFrame:
-    """(group, fraction, value) of a long table; nulls and NaN are left out, groups without values give no rows."""
-    clean = long.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    largest = clean.groupBy("g").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= ARRAY_LIMIT:
-        at = F.explode(F.array(*[F.lit(float(q)) for q in fractions]))
-        held = clean.groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("vs")).withColumn("fraction", at)
-        pick = F.floor((F.size("vs") - 1) * F.col("fraction") + 0.5).cast("int") + 1
-        return held.select(F.col("g").alias(group), "fraction", F.element_at("vs", pick).alias("value"))
-    counted = clean.groupBy(F.col("g").alias(group), F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return percentiles(counted, [group], fractions, method="nearest").select(group, "fraction", "value")
+    """The same of a long table (group, value); nulls and NaN are left out."""
+    counts = long.groupBy(F.col(group), F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return nearest_of_counts(counts, group, fractions)

@@ -165,7 +165,7 @@ class Dataset:
         if column not in self.df.columns:
             return None
         with translated("reduce"):
-            value = self.df.agg(build(parse_reduce_op(op), self.df, column, "dataset").alias("value")).first()[0]
+            value = self.df.agg(build(parse_reduce_op(op), self.df, column, "dataset").alias("value")).collect()[0][0]
         return value
 
     def feature_wise_mean_std(self, columns: Sequence[str], std_kind: str | None = None) -> dict[str, dict[str, float | None]]:

@@ -190,7 +190,7 @@ class Frame:
         if column not in self.df.columns:
             return None
         with translated("reduce"):
-            return self.reduce_frame(column, op).first()[0]
+            return self.reduce_frame(column, op).collect()[0][0]
 
     def sum(self, column: str) -> Any:
         return self.reduce(column, "sum")

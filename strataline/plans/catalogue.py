@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.common import table
+from strataline.common import stage, table
 from strataline.functions.aggregates import REDUCE_OPS
-from strataline.functions.quantile import nearest_quantiles
+from strataline.functions.quantile import nearest_of_counts
 from strataline.operators.dataset import ROW, Dataset, with_ordinal
 from strataline.operators.frame import Frame
 from strataline.plans.sql_context import SqlContext, query
@@ -294,10 +294,10 @@ def _profile_sql(rows: str, columns: list[str] = _NUM) -> str:
 
 
 def _profiled(df: DataFrame, columns: list[str] = _NUM) -> DataFrame:
-    df = df.select(*columns)
-    marks = nearest_quantiles(profile.numeric_long(df), "column", "value", [0.5, 0.95])
+    counts = stage(profile.counts_frame(df.select(*columns)))
+    marks = nearest_of_counts(counts, "column", [0.5, 0.95])
     q = marks.groupBy("column").agg(F.max(F.when(F.col("fraction") == 0.5, F.col("value"))).alias("q50"), F.max(F.when(F.col("fraction") == 0.95, F.col("value"))).alias("q95"))
-    return profile.profile_frame(df).drop("data_type").join(q, "column").withColumns({c: F.round(c, 4) for c in ("min", "max", "mean", "q50", "q95")})
+    return profile.profile_frame(counts).drop("data_type").join(q, "column").withColumns({c: F.round(c, 4) for c in ("min", "max", "mean", "q50", "q95")})
 
 
 @query_of("profile_full", _profile_sql("SELECT * FROM lineitem"))
@@ -313,7 +313,7 @@ def _(spark, d):
 @query_of("profile_text", "SELECT 'c_mktsegment' AS \"column\",count(*) AS row_count,count(*)-count(nullif(c_mktsegment,'BUILDING')) AS null_count,count(DISTINCT nullif(c_mktsegment,'BUILDING')) AS distinct_count FROM customer")
 def _(spark, d):
     df = table(spark, d, "customer").select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"))
-    return profile.profile_frame(df).select("column", "row_count", "null_count", "distinct_count")
+    return profile.profile_frame(profile.counts_frame(df)).select("column", "row_count", "null_count", "distinct_count")
 
 
 def _check(name: str, spec: dict, sql: str, source: str = "lineitem", nulls: str | None = None) -> None:

@@ -35,7 +35,7 @@ def test_profile_of_empty_tables(spark):
 def test_nearest_quantiles_agree(spark, monkeypatch):
     df = spark.range(1001).selectExpr("'g' as g", "cast((id * 7919) % 1001 as double) as v").union(spark.sql("select 'h', cast(null as double)"))
     fast = quantile.nearest_quantiles(df, "g", "v", [0.1, 0.5, 0.95]).orderBy("fraction").collect()
-    monkeypatch.setattr(quantile, "ARRAY_LIMIT", 10)
+    monkeypatch.setattr(quantile, "ONE_TASK", 10)
     assert quantile.nearest_quantiles(df, "g", "v", [0.1, 0.5, 0.95]).orderBy("fraction").collect() == fast
     assert [r["value"] for r in fast] == [100.0, 500.0, 950.0]
 
