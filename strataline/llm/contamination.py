@@ -191,16 +191,15 @@ def leaks(documents: DataFrame, items: DataFrame, *, share: float = SHARE) -> Da
     """(doc_id, item_id, share) of documents whose text holds at least ``share`` of an item.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Case, accents, punctuation, spacing, markup and
-    line breaks do not count; single words may be changed, dropped or put in between. Null and empty texts
-    give no rows; documents without words are skipped; repeated rows give repeated pairs once per row, which the final
-    distinct removes. Texts of any length are searched whole.
+    line breaks do not count; single words may be changed, dropped or put in between. Null and empty texts,
+    documents without words and null ids give no rows; repeated rows give a pair once. Texts of any length are searched whole.
     """
     spark = documents.sparkSession
     wanted = items.select("item_id", "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
     rows = sorted((int(r["item_id"]), words(r["text"])) for r in wanted.toLocalIterator())
     rows = [(i, ws) for i, ws in rows if ws]
     counts = Counter(w for _, ws in rows for w in set(ws))
-    docs = documents.select("doc_id", "text").filter("text is not null")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
 
     def run(block: list[tuple[int, list[str]]]) -> DataFrame:
         sent = spark.sparkContext.broadcast((block, Counter({w: counts[w] for _, ws in block for w in ws}), len(rows)))
@@ -215,6 +214,6 @@ def leaks(documents: DataFrame, items: DataFrame, *, share: float = SHARE) -> Da
         return docs.mapInPandas(find, "doc_id bigint, item_id bigint, share double")
 
     if not rows:
-        return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("share")).limit(0)
+        return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("share")).limit(0)
     parts = [run(rows[at : at + ITEM_BLOCK]) for at in range(0, len(rows), ITEM_BLOCK)]
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

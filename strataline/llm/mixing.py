@@ -27,6 +27,10 @@ VOCABULARY = os.environ.get("STRATALINE_VOCABULARY", "/opt/tokenizers/byte_bpe_5
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Most (pattern, source) arcs that are broadcast.
+BROADCAST_ARCS = 50_000
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     import tiktoken
@@ -37,15 +41,15 @@ def tokenizer(path: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, text_key, tokens) of every document; whole texts. A null text has no tokens. The key is
-    equal for equal texts."""
+    """(doc_id, source, text_key, tokens) of every document; whole texts. A null text has no tokens; rows without an
+    id are left out. The key is equal for equal texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokenizer(vocabulary).encode_ordinary
         for pdf in batches:
             yield pdf.drop(columns="text").assign(tokens=[len(encode(t)) if t else 0 for t in pdf["text"]])
 
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.sha2("text", 256).alias("text_key"), "text")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.sha2("text", 256).alias("text_key"), "text").filter("doc_id is not null")
     return rows.mapInPandas(count, "doc_id bigint, source string, text_key string, tokens bigint")
 
 
@@ -150,7 +154,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
     wanted = targets.filter("source is not null and target_share > 0 and max_repeats > 0").select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     # A target names a source; there are as many rows as the mixture has parts.
     parts = {r["source"]: (r["target_share"], r["max_repeats"]) for r in wanted.collect()}
-    counted = token_counts(documents, vocabulary).join(F.broadcast(wanted.select("source").distinct()), "source", "left_semi").filter("tokens > 0")
+    counted = token_counts(documents, vocabulary).filter(F.col("source").isin(*parts) if parts else F.lit(False)).filter("tokens > 0")
     # Map-side combine keeps a text with very many copies to one row a task.
     texts = stage(
         counted.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.array_join(F.array_sort(F.collect_set("source")), "\u001f").alias("pattern"))
@@ -169,11 +173,13 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
         arcs.append(("\u001f".join(p), s, start[p], start[p] + amount, table[p]))
         start[p] += amount
     plan = spark.createDataFrame(arcs, "pattern string, source string, lo bigint, hi bigint, held bigint")
+    # One pattern may hold most texts; its few arcs are sent to all tasks while their number is small.
+    plan = F.broadcast(plan) if len(arcs) <= BROADCAST_ARCS else plan
     placed = prefix_sums(texts.withColumn("seeded", F.xxhash64(F.lit(seed), "text_key")), ["pattern"], ["seeded", "text_key"], "tokens", "place")
     # Copies with start place + k * held in [lo, hi), over whole k.
     upto = lambda x: F.ceil((F.col(x) - F.col("place")) / F.col("held"))
     selection = (
-        placed.join(F.broadcast(plan), "pattern").withColumn("repeats", (F.greatest(upto("hi"), F.lit(0)) - F.greatest(upto("lo"), F.lit(0))).cast("int"))
+        placed.join(plan, "pattern").withColumn("repeats", (F.greatest(upto("hi"), F.lit(0)) - F.greatest(upto("lo"), F.lit(0))).cast("int"))
         .filter("repeats > 0").select("doc_id", "source", "repeats", "tokens")
     )
     taken = selection.groupBy("source").agg(F.sum(F.col("repeats") * F.col("tokens")).alias("taken_tokens"))

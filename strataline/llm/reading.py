@@ -178,7 +178,8 @@ def train(documents: DataFrame, labels: DataFrame, *, limit: int = LABEL_LIMIT)
 def reading_levels(documents: DataFrame, labels: DataFrame, *, limit: int = LABEL_LIMIT) -> DataFrame:
     """(doc_id, n_words, score, calibrated, reading_level) of every document.
 
-    ``n_words`` counts words split at white space. Null texts and texts without words have null levels. The language
+    ``n_words`` counts words split at white space. Null texts and texts without words have null levels; rows
+    without an id are left out. The language
     need not be known: words of all languages share one hashed vocabulary. Texts are read whole.
     """
     model = train(documents, labels, limit=limit)
@@ -194,5 +195,6 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, limit: int = LABE
                 "score": pd.Series(scores, dtype="float64"), "calibrated": pd.Series(levels, dtype="float64"),
             })
 
-    graded = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(grade, "doc_id bigint, n_words int, score double, calibrated double")
+    known = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
+    graded = known.mapInPandas(grade, "doc_id bigint, n_words int, score double, calibrated double")
     return graded.withColumn("reading_level", F.floor(F.col("calibrated") + 0.5).cast("int"))

@@ -46,12 +46,12 @@ def test_leaks(spark, items):
     filler = "I like the new handle and it came in a small box last week. " * 5
     docs = [
         (1, items[1]), (2, filler + items[2] + filler), (3, mangle(items[3], rng)), (4, filler + half(items[4])), (5, items[5].replace("days", "days​").replace("e", "é")),
-        (6, filler), (7, item(rng) + item(rng)), (8, items[6].split(". ")[0]), (9, None), (10, ""), (11, items[7] + " " + items[8]), (12, filler * 200 + items[9]), (12, filler * 200 + items[9]),
+        (6, filler), (7, item(rng) + item(rng)), (8, items[6].split(". ")[0]), (9, None), (10, ""), (11, items[7] + " " + items[8]), (12, filler * 200 + items[9]), (12, filler * 200 + items[9]), (None, items[10]), (2**53 + 1, items[11]),
     ]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, item_id string").repartition(3)
     wanted = spark.createDataFrame([(*i, 0) for i in items.items()] + [(99, None, 0), (98, "", 0)], "item_id bigint, text string, doc_id int")
     got = sorted((r.doc_id, r.item_id) for r in leaks(df, wanted).collect())
-    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (11, 7), (11, 8), (12, 9)]
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (11, 7), (11, 8), (12, 9), (2**53 + 1, 11)]
 
 
 def test_empty_tables(spark, items):

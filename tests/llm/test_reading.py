@@ -29,7 +29,7 @@ def corpus(spark):
     rng = random.Random(6)
     docs = [(i, text(1 + i % 4, rng)) for i in range(400)]
     codes = " ".join(f"Zelquarenlofanmer{rng.randrange(10**9)}" for _ in range(25))
-    docs += [(900, docs[2][1] + " " + codes), (901, None), (902, ""), (903, "?! 12"), (904, docs[3][1].upper().replace(" ", "\n")), (905, docs[3][1] * 300)]
+    docs += [(900, docs[2][1] + " " + codes), (901, None), (902, ""), (903, "?! 12"), (904, docs[3][1].upper().replace(" ", "\n")), (905, docs[3][1] * 300), (None, docs[3][1]), (2**53 + 1, docs[3][1])]
     labels = [(i, "r1", 1 + i % 4) for i in range(120)] + [(0, "r2", 4), (0, "r3", 1), (5, "r2", 9), (7, "r2", None), (77777, "r1", 2)]
     return spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(labels, "doc_id bigint, rater string, reading_level int")
 
@@ -40,6 +40,7 @@ def test_held_out_levels(corpus):
     assert np.mean([got[i].reading_level == 1 + i % 4 for i in held]) > 0.95
     assert got[900].reading_level == 3 and got[904].reading_level == got[905].reading_level == 4
     assert [got[i].reading_level for i in (901, 902, 903)] == [None, None, None] or got[903].reading_level in (1, 2, None)
+    assert None not in got and got[2**53 + 1].reading_level == 4
     assert got[902].n_words == 0 and got[905].n_words > 15_000
 
 
