@@ -43,23 +43,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and read it back.
-
-    Cuts lineage, survives the loss of executors and keeps columns prunable. Folders of a session are
-    removed when its process ends.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; everything under a session's root is removed when its process ends."""
     app = spark.sparkContext.applicationId
     if app not in _STAGE_ROOTS:
         _STAGE_ROOTS[app] = (spark, f"{checkpoint_root(spark)}/strataline-{app}-{uuid.uuid4().hex[:8]}")
         atexit.register(_remove, *_STAGE_ROOTS[app])
-    path = f"{_STAGE_ROOTS[app][1]}/{uuid.uuid4().hex}"
+    return f"{_STAGE_ROOTS[app][1]}/{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and read it back.
+
+    Cuts lineage, survives the loss of executors and keeps columns prunable.
+    """
+    path = scratch_path(df.sparkSession)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def epoch_micros(name: str) -> Column:

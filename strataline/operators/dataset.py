@@ -90,6 +90,16 @@ class Dataset:
     def to_arrow(self) -> pa.Table:
         return self.df.toArrow()
 
+    @classmethod
+    def from_records(cls, spark: SparkSession, schema, records: Iterable[Any]) -> "Dataset":
+        """From dataclass instances or other objects with the schema's names as attributes."""
+        schema = Schema.of(schema)
+        return cls.from_rows(spark, schema, ([getattr(r, n) for n in schema.names] for r in records))
+
+    def to_records(self, make: Callable[..., Any]) -> list[Any]:
+        """Rows as ``make(**cells)``, such as instances of a dataclass."""
+        return [make(**dict(zip(self.schema.names, r, strict=True))) for r in self.to_rows()]
+
     def __repr__(self) -> str:
         return f"Dataset({', '.join(f'{f.name}: {f.data_type.title}' for f in self.schema.fields)})"
 

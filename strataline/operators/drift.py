@@ -267,6 +267,16 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
 CHANGES = "feed string, file_no int, change_kind string, field_path string, new_path string, score double"
 
 
+def _outside(rows: DataFrame, covers: DataFrame) -> DataFrame:
+    """Rows (feed, file_no, field_path) with no ancestor among ``covers`` (feed, file_no, path): every path is spread into its
+    few ancestors and looked up, so fields and covers are never paired."""
+    parts = F.split("field_path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    inner = rows.filter(F.size(parts) > 1).select("feed", "file_no", "field_path", F.explode(above).alias("path"))
+    hit = inner.join(covers.distinct(), ["feed", "file_no", "path"], "left_semi").select("feed", "file_no", "field_path").distinct()
+    return rows.join(hit, ["feed", "file_no", "field_path"], "left_anti")
+
+
 def changes(sketches: DataFrame) -> DataFrame:
     """Every change of a file against the file before it in its feed.
 
@@ -295,20 +305,15 @@ def changes(sketches: DataFrame) -> DataFrame:
     )
     typed = stage(typed)
     # Fields under a field whose kinds changed belong to that report.
-    over = typed.select("feed", "file_no", F.concat("field_path", F.lit(".")).alias("over"))
-    moved = moved.join(over, ["feed", "file_no"], "left").groupBy("feed", "file_no", "change_kind", "field_path").agg(
-        F.max(F.coalesce(F.col("field_path").startswith(F.col("over")), F.lit(False))).alias("covered")
-    ).filter("not covered").drop("covered")
+    moved = _outside(moved, typed.select("feed", "file_no", F.col("field_path").alias("path")))
     sketch = sketches.select("feed", "file_no", F.col("path").alias("field_path"), "feature", "n")
     old = moved.filter("change_kind = 'removed'").select("feed", (F.col("file_no") - 1).alias("at"), "file_no", "change_kind", "field_path")
     new = moved.filter("change_kind = 'added'").select("feed", F.col("file_no").alias("at"), "file_no", "change_kind", "field_path")
     detail = old.unionByName(new).join(sketch.withColumnRenamed("file_no", "at"), ["feed", "at", "field_path"]).drop("at")
     matched = stage(detail.groupBy("feed", "file_no").applyInPandas(_match, CHANGES))
     reported = matched.filter("change_kind <> 'type_changed'").select("feed", "file_no", F.explode(F.array("field_path", F.nullif("new_path", F.lit("")))).alias("path")).filter("path is not null")
-    covers = reported.unionByName(typed.select("feed", "file_no", F.col("field_path").alias("path"))).select("feed", "file_no", F.concat("path", F.lit(".")).alias("over"))
-    kept = typed.join(covers, ["feed", "file_no"], "left").groupBy("feed", "file_no", "change_kind", "field_path").agg(
-        F.max(F.coalesce(F.col("field_path").startswith(F.col("over")), F.lit(False))).alias("covered")
-    ).filter("not covered").select("feed", "file_no", "change_kind", "field_path", F.lit("").alias("new_path"), F.lit(None).cast("double").alias("score"))
+    covers = reported.unionByName(typed.select("feed", "file_no", F.col("field_path").alias("path")))
+    kept = _outside(typed, covers).select("feed", "file_no", "change_kind", "field_path", F.lit("").alias("new_path"), F.lit(None).cast("double").alias("score"))
     return matched.unionByName(kept)
 
 

@@ -129,23 +129,18 @@ def departures(values: DataFrame, counts: DataFrame, domains: dict[str, tuple[fl
     domain. Each share is compared with the median over all loads of the source (a load without a value
     has share 0), its chance with the binomial error plus the spread between loads.
     """
-    shares = _shares(values, counts)
-    loads = counts.groupBy("source", "column_name").agg(F.collect_set(F.struct("load", (F.col("row_count") - F.col("null_count")).alias("held"), "row_count")).alias("loads"))
-    seen = shares.groupBy("source", "column_name", "kind", "feature").agg(F.map_from_entries(F.collect_list(F.struct("load", F.struct("k", "n")))).alias("by_load"))
-    grid = seen.join(loads, ["source", "column_name"]).filter(F.size("loads") >= MIN_LOADS)
-    cell = F.transform(
-        "loads",
-        lambda x: F.struct(
-            x["load"].alias("load"),
-            F.when(F.col("kind") == "null", x["row_count"]).otherwise(x["held"]).alias("n"),
-            (F.coalesce(F.try_element_at("by_load", x["load"])["k"], F.lit(0)) / F.when(F.col("kind") == "null", x["row_count"]).otherwise(x["held"])).alias("share"),
-        ),
-    )
-    grid = grid.withColumn("cells", F.filter(cell, lambda c: c["n"] > 0))
-    middle = lambda a: F.try_element_at(F.array_sort(a), ((F.size(a) + 1) / 2).cast("int"))
-    grid = grid.withColumn("usual", middle(F.transform("cells", lambda c: c["share"])))
-    grid = grid.withColumn("spread", 1.4826 * middle(F.transform("cells", lambda c: F.abs(c["share"] - F.col("usual")))))
-    each = grid.select("source", "column_name", "kind", "feature", "usual", "spread", F.inline("cells"))
+    shares = stage(_shares(values, counts))
+    loads = counts.select(*UNIT, (F.col("row_count") - F.col("null_count")).alias("held"), "row_count")
+    enough = counts.groupBy("source", "column_name").agg(F.count(F.lit(1)).alias("loads")).filter(F.col("loads") >= MIN_LOADS)
+    unit = ["source", "column_name", "kind", "feature"]
+    # Every load is tested on every feature its source's column has: a load without a value has share 0.
+    grid = shares.select(*unit).distinct().join(loads.join(enough, ["source", "column_name"], "left_semi"), ["source", "column_name"])
+    whole = F.when(F.col("kind") == "null", F.col("row_count")).otherwise(F.col("held"))
+    cells = grid.withColumn("n", whole).filter("n > 0").join(shares.select(*unit, "load", "k"), [*unit, "load"], "left")
+    cells = stage(cells.select(*unit, "load", "n", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("share")))
+    middle = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(10_000))
+    each = cells.join(cells.groupBy(*unit).agg(middle("share").alias("usual")), unit)
+    each = each.join(each.groupBy(*unit).agg((1.4826 * middle(F.abs(F.col("share") - F.col("usual")))).alias("spread")), unit)
     # One pseudo-row keeps the error of a share of 0 or 1 above 0.
     safe = (F.col("usual") * F.col("n") + 0.5) / (F.col("n") + 1)
     error = F.sqrt(safe * (1 - safe) / F.col("n") + F.col("spread") * F.col("spread"))

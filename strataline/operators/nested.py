@@ -126,7 +126,7 @@ class NestedTables:
     among equally full deliveries is by hash. ``names`` gives levels by array path their table name and
     natural key, e.g. ``{("tasks",): ("task", "task_key")}``.
 
-    Null elements of arrays are no objects and give no row. Null or empty arrays give no child rows. An
+    Rows with a null key are deliveries of one record without a key. Null elements of arrays are no objects and give no row. Null or empty arrays give no child rows. An
     object all of whose fields are null is a row. Positions (``task_pos``, from 0) link children to
     parents even where natural keys are null or repeated. Fields with clashing names are told apart by
     more of their path. An empty input gives empty tables.

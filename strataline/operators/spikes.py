@@ -164,7 +164,7 @@ def implausible(readings: DataFrame) -> DataFrame:
 
     ``readings``: source, id (unique), at (ms), value, ok (successful), most (greatest possible value).
     Impossible: negative, NaN or infinite, 0 though successful, or above ``most``. Null readings are no
-    cases and are skipped; a null ``ok`` is not successful; sources with fewer than MIN_RUNS readings have no
+    cases and are skipped; rows without a source are tested for impossible values only; a null ``ok`` is not successful; sources with fewer than MIN_RUNS readings have no
     spikes. Empty input gives no rows.
     """
     v = F.col("value")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.common import stage, table
+from strataline.common import scratch_path, stage, table
 from strataline.functions.aggregates import REDUCE_OPS
 from strataline.functions.quantile import nearest_of_counts
 from strataline.operators.dataset import ROW, Dataset, with_ordinal
@@ -384,3 +384,43 @@ def _(spark, d):
 def _(spark, d):
     a = frame(spark, d, "nation", "n_nationkey", "n_name").rename([("n_nationkey", "k"), ("n_name", "name")])
     return a.union(frame(spark, d, "region", "r_regionkey", "r_name").rename([("r_regionkey", "k"), ("r_name", "name")])).df
+
+
+@query_of("csv_round_trip", "SELECT c_custkey,c_acctbal,c_mktsegment FROM customer")
+def _(spark, d):
+    from strataline.sources.readers import ingest_from_path
+
+    path = scratch_path(spark)
+    table(spark, d, "customer").write.option("header", True).csv(path)
+    return ingest_from_path(spark, path, [("c_custkey", "int64"), ("c_acctbal", "float64"), ("c_mktsegment", "utf8")], {"format": "csv"}).df
+
+
+@query_of(
+    "json_dot_path",
+    "SELECT run_id,settings.name AS \"settings.name\",settings.tags.team AS \"settings.tags.team\",cluster.num_workers AS \"cluster.num_workers\",metrics.success AS \"metrics.success\" FROM job_runs_sample",
+)
+def _(spark, d):
+    from strataline.sources.readers import ingest_from_path
+
+    path = scratch_path(spark) + ".ndjson"
+    table(spark, d, "job_runs_sample").select("run_id", "settings", "cluster", "metrics").write.json(path)
+    fields = [("run_id", "int64"), ("settings.name", "utf8"), ("settings.tags.team", "utf8"), ("cluster.num_workers", "int64"), ("metrics.success", "bool")]
+    return ingest_from_path(spark, path, fields).df
+
+
+@query_of("execution_filter_map", "SELECT c_custkey,c_acctbal*2 AS c_acctbal FROM customer WHERE c_acctbal<0")
+def _(spark, d):
+    from strataline.execution import ExecutionEngine
+
+    engine = ExecutionEngine()
+    kept = engine.filter_parallel(Dataset(table(spark, d, "customer").select("c_custkey", "c_acctbal")), lambda r: r[1] < 0)
+    return engine.map_parallel(kept, lambda r: [r[0], r[1] * 2]).df
+
+
+@query_of("infer_csv_schema", "SELECT * FROM (VALUES ('o_orderkey','int64'),('o_custkey','int64'),('o_orderstatus','utf8'),('o_totalprice','float64'),('o_orderpriority','utf8')) t(name,data_type)")
+def _(spark, d):
+    from strataline.sources.readers import infer_schema
+
+    path = scratch_path(spark)
+    table(spark, d, "orders").drop("o_orderdate").write.option("header", True).csv(path)
+    return spark.createDataFrame([(f["name"], f["data_type"]) for f in infer_schema(spark, path, {"format": "csv"}).to_list()], "name string, data_type string")

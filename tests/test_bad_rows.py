@@ -46,3 +46,9 @@ def test_files(spark):
     assert sorted(map(tuple, valid.collect())) == [(1, 2, 1, "a", 1.0, True), (2, 2, 2, "b", 3.0, False), (2, 2, 2, "b", 3.0, False), (3, 5, 3, "c", None, None)]
     assert [tuple(r) for r in rejected.collect()] == [(1, 4, "bad_id", "x", "x,a,1,t")]
     assert parse_rows(df.limit(0)).count() == 0
+
+
+def test_hot_file_and_null_numbers(spark):
+    rows = [(1, 1, "active,id,name,score")] + [(1, i, f"t,{i},n,1" if i % 50 else f"t,x{i},n,1") for i in range(2, 1000)] + [(None, 7, "1,a,2,t"), (5, None, "2,b,3,f")]
+    valid, rejected = split_rows(spark.createDataFrame(rows, "file_no int, line_no int, raw_line string"))
+    assert rejected.count() == 19 and valid.count() == 998 - 19 + 2

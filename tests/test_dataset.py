@@ -67,3 +67,15 @@ def test_ordinals(spark):
 
 def test_arrow_round_trip(spark, x):
     assert Dataset.from_arrow(spark, x.to_arrow()).to_rows() == x.to_rows()
+
+
+def test_records(spark):
+    from dataclasses import dataclass
+
+    @dataclass
+    class Point:
+        x: int
+        t: str | None
+
+    points = [Point(1, "a"), Point(2, None)]
+    assert Dataset.from_records(spark, [("x", "int64"), ("t", "utf8")], points).to_records(Point) == points

@@ -81,3 +81,14 @@ def test_pursuit_of_narrow_daily_profiles_points_at_the_spikes():
     days[11, 6] += 2.0
     sparse = pursuit(days[None])[1][0]
     assert np.unravel_index(np.abs(sparse).argmax(), sparse.shape) == (11, 6) and sparse[11, 6] > 0.5
+
+
+def test_null_sources_are_tested_for_impossible_values_only(spark):
+    rows = [(None, i, i, -1.0 if i == 3 else 7.0, True, None) for i in range(50)]
+    assert found(spark, rows) == {(3, "impossible")}
+
+
+def test_one_hot_source(spark):
+    base = noisy(5)
+    rows = series(1, 6000, lambda i: base(i) * (6 if i == 4321 else 1), per_day=200) + series(2, 60, noisy(6))
+    assert found(spark, rows) == {(104_321, "spike")}
