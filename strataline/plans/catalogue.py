@@ -49,7 +49,7 @@ LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discou
 
 
 # Predicates. Nulls are made in the query, as the tables have none.
-@query_of("filter_eq", "SELECT l_orderkey,l_linenumber,l_returnflag FROM lineitem WHERE l_returnflag='R'")
+@query_of("filter_eq", "SELECT l_orderkey,CAST(l_linenumber AS BIGINT) AS l_linenumber,l_returnflag FROM lineitem WHERE l_returnflag='R'")
 def _(spark, d):
     return frame(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").filter_eq("l_returnflag", "R").df
 
@@ -58,17 +58,17 @@ def _with_null(spark, d):
     return Frame(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_linenumber", F.lit(1)).alias("n")))
 
 
-@query_of("filter_null_eq", "SELECT l_orderkey,l_linenumber,nullif(l_linenumber,1) AS n FROM lineitem WHERE nullif(l_linenumber,1) IS NULL")
+@query_of("filter_null_eq", "SELECT l_orderkey,CAST(l_linenumber AS BIGINT) AS l_linenumber,CAST(nullif(l_linenumber,1) AS BIGINT) AS n FROM lineitem WHERE nullif(l_linenumber,1) IS NULL")
 def _(spark, d):
     return _with_null(spark, d).filter_eq("n", None).df
 
 
-@query_of("filter_not_null", "SELECT l_orderkey,l_linenumber,nullif(l_linenumber,1) AS n FROM lineitem WHERE nullif(l_linenumber,1) IS NOT NULL")
+@query_of("filter_not_null", "SELECT l_orderkey,CAST(l_linenumber AS BIGINT) AS l_linenumber,CAST(nullif(l_linenumber,1) AS BIGINT) AS n FROM lineitem WHERE nullif(l_linenumber,1) IS NOT NULL")
 def _(spark, d):
     return _with_null(spark, d).filter_not_null("n").df
 
 
-@query_of("filter_mod", "SELECT l_orderkey,l_linenumber FROM lineitem WHERE l_orderkey%7=3")
+@query_of("filter_mod", "SELECT l_orderkey,CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_orderkey%7=3")
 def _(spark, d):
     return frame(spark, d, "lineitem", "l_orderkey", "l_linenumber").filter_mod_eq_int64("l_orderkey", 7, 3).df
 
@@ -89,12 +89,12 @@ def _(spark, d):
     return frame(spark, d, "supplier").drop(["s_nationkey", "s_acctbal"]).df
 
 
-@query_of("with_literal", "SELECT r_regionkey,'v1' AS tag,CAST(7 AS BIGINT) AS seven FROM region")
+@query_of("with_literal", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey,'v1' AS tag,CAST(7 AS BIGINT) AS seven FROM region")
 def _(spark, d):
     return frame(spark, d, "region", "r_regionkey").with_literal("tag", "v1").with_literal("seven", 7).df
 
 
-@query_of("fill_null", "SELECT l_orderkey,l_linenumber,coalesce(nullif(l_linenumber,1),0) AS n FROM lineitem")
+@query_of("fill_null", "SELECT l_orderkey,CAST(l_linenumber AS BIGINT) AS l_linenumber,CAST(coalesce(nullif(l_linenumber,1),0) AS BIGINT) AS n FROM lineitem")
 def _(spark, d):
     return _with_null(spark, d).fill_null("n", 0).df
 
@@ -111,7 +111,7 @@ def _(spark, d):
     return Frame(df).cast("a", "int64", "lossy").cast("b", "int64", "lossy").df
 
 
-@query_of("derive_mul_add", "SELECT l_orderkey,l_linenumber,round(l_extendedprice*1.1,4) AS m,round(l_extendedprice+2.5,4) AS a,round(l_quantity*2.0,4) AS l_quantity FROM lineitem")
+@query_of("derive_mul_add", "SELECT l_orderkey,CAST(l_linenumber AS BIGINT) AS l_linenumber,round(l_extendedprice*1.1,4) AS m,round(l_extendedprice+2.5,4) AS a,round(l_quantity*2.0,4) AS l_quantity FROM lineitem")
 def _(spark, d):
     f = frame(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     f = f.with_mul_f64("m", "l_extendedprice", 1.1).with_add_f64("a", "l_extendedprice", 2.5).multiply_f64("l_quantity", 2.0).drop(["l_extendedprice"])
@@ -178,13 +178,13 @@ def _(spark, d):
     return f.group_by(["l_returnflag", "l_linestatus"], [{"type": "count_rows", "alias": "n"}, {"type": "sum", "column": "l_extendedprice", "alias": "s"}]).df.withColumn("s", F.round("s", 2))
 
 
-@query_of("group_all_null_sum", "SELECT l_linenumber,coalesce(sum(CASE WHEN l_linenumber<>2 THEN l_quantity END),0) AS s,avg(CASE WHEN l_linenumber<>2 THEN l_quantity END) AS m FROM lineitem GROUP BY l_linenumber")
+@query_of("group_all_null_sum", "SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber,coalesce(sum(CASE WHEN l_linenumber<>2 THEN l_quantity END),0) AS s,avg(CASE WHEN l_linenumber<>2 THEN l_quantity END) AS m FROM lineitem GROUP BY l_linenumber")
 def _(spark, d):
     df = table(spark, d, "lineitem").select("l_linenumber", F.when(F.col("l_linenumber") != 2, F.col("l_quantity")).alias("q"))
     return Frame(df).group_by(["l_linenumber"], [{"type": "sum", "column": "q", "alias": "s"}, {"type": "mean", "column": "q", "alias": "m"}]).df
 
 
-@query_of("group_null_key", "SELECT nullif(l_linenumber,1) AS n,count(*) AS c FROM lineitem GROUP BY 1")
+@query_of("group_null_key", "SELECT CAST(nullif(l_linenumber,1) AS BIGINT) AS n,count(*) AS c FROM lineitem GROUP BY 1")
 def _(spark, d):
     return _with_null(spark, d).group_by(["n"], [{"type": "count_rows", "alias": "c"}]).df
 
@@ -207,7 +207,7 @@ for _how, _sql in (("inner", ""), ("left", "LEFT"), ("right", "RIGHT"), ("full",
     _join(_how, _sql)
 
 
-@query_of("join_multi_key", "SELECT a.l_orderkey,a.l_linenumber,a.l_quantity,b.l_tax FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_linenumber=b.l_linenumber")
+@query_of("join_multi_key", "SELECT a.l_orderkey,CAST(a.l_linenumber AS BIGINT) AS l_linenumber,a.l_quantity,b.l_tax FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_linenumber=b.l_linenumber")
 def _(spark, d):
     a = frame(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
     return a.join(frame(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_tax"), ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber"]).df
@@ -230,7 +230,7 @@ _arg("max", "DESC")
 _arg("min", "ASC")
 
 
-@query_of("topk_freq", "SELECT p_size AS value,count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC,1 LIMIT 10")
+@query_of("topk_freq", "SELECT CAST(p_size AS BIGINT) AS value,count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC,1 LIMIT 10")
 def _(spark, d):
     return Dataset(table(spark, d, "part").select("p_size")).top_k_frame("p_size", 10)
 
@@ -380,7 +380,7 @@ def _(spark, d):
     return frame(spark, d, "customer", "c_custkey", "c_acctbal").sort(("c_acctbal", False), ("c_custkey", True)).limit(20).df
 
 
-@query_of("union_rows", "SELECT n_nationkey AS k,n_name AS name FROM nation UNION ALL SELECT r_regionkey,r_name FROM region")
+@query_of("union_rows", "SELECT CAST(n_nationkey AS BIGINT) AS k,n_name AS name FROM nation UNION ALL SELECT CAST(r_regionkey AS BIGINT),r_name FROM region")
 def _(spark, d):
     a = frame(spark, d, "nation", "n_nationkey", "n_name").rename([("n_nationkey", "k"), ("n_name", "name")])
     return a.union(frame(spark, d, "region", "r_regionkey", "r_name").rename([("r_regionkey", "k"), ("r_name", "name")])).df
