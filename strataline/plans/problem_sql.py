@@ -19,3 +19,25 @@ ORACLE = {
         for c in ("id", "name", "score", "active", "grp", "badge")
     ),
 }
+
+# The range, stuck and gap rules of problem 5 alone; the daily profiles only ever confirm them on these data.
+ORACLE["p5_found"] = r"""
+WITH once AS (SELECT * FROM (SELECT *,row_number() OVER (PARTITION BY run_id ORDER BY received_at DESC) AS rn FROM job_runs_sample) WHERE rn=1),
+r AS (SELECT job_id,run_id,created_time AS began,metrics.duration_ms AS v,coalesce(metrics.success,false) AS ok,epoch_us(received_at)/1000.0-created_time AS most FROM once),
+t AS (SELECT *,coalesce(v<0 OR isnan(v) OR isinf(v) OR (v=0 AND ok) OR v>most,false) AS bad FROM r),
+s AS (SELECT job_id,run_id,v,row_number() OVER (PARTITION BY job_id ORDER BY began,run_id)-row_number() OVER (PARTITION BY job_id,v ORDER BY began,run_id) AS g FROM t WHERE ok AND v IS NOT NULL AND NOT isnan(v)),
+stuck AS (SELECT job_id,run_id FROM s QUALIFY count(*) OVER (PARTITION BY job_id,v,g)>=6),
+big AS (SELECT job_id FROM r GROUP BY job_id HAVING count(*)>=40),
+o AS (SELECT job_id,run_id,v,row_number() OVER (PARTITION BY job_id ORDER BY v) AS i,count(*) OVER (PARTITION BY job_id) AS n,lag(v) OVER (PARTITION BY job_id ORDER BY v) AS lo,lead(v) OVER (PARTITION BY job_id ORDER BY v) AS hi FROM t WHERE ok AND NOT bad AND v>0 AND job_id IN (SELECT job_id FROM big)),
+cuts AS (SELECT job_id,min(CASE WHEN v>=2.9*lo AND n-i+1<=greatest(3,0.053*n) AND (n-i+1)*2<n THEN v END) AS up,max(CASE WHEN hi>=2.9*v AND i<=greatest(3,0.053*n) AND i*2<n THEN v END) AS down FROM o GROUP BY job_id)
+SELECT job_id,run_id FROM t WHERE bad UNION SELECT job_id,run_id FROM stuck UNION SELECT o.job_id,run_id FROM o JOIN cuts USING (job_id) WHERE v>=up OR v<=down
+"""
+
+ORACLE["p7_found"] = r"""
+WITH e AS (SELECT meta.source AS s,meta.checkpoint AS k,table_ref.name AS t,lower(trim(op)) AS op,TRY_CAST(list_filter(before,lambda x: x.field_name='id')[1].field_value AS BIGINT) AS b,TRY_CAST(list_filter("after",lambda x: x.field_name='id')[1].field_value AS BIGINT) AS a FROM cdc_event),
+o AS (SELECT *,CASE WHEN regexp_full_match(k,'[0-9A-Fa-f]+/[0-9A-Fa-f]+') THEN [TRY_CAST('0x'||split_part(k,'/',1) AS HUGEINT),TRY_CAST('0x'||split_part(k,'/',2) AS HUGEINT)] WHEN regexp_matches(k,'^\d{4}-\d\d-\d\dT') THEN [TRY_CAST(epoch_us(TRY_CAST(replace(split_part(k,'#',1),'Z','') AS TIMESTAMP)) AS HUGEINT),TRY_CAST(split_part(k,'#',2) AS HUGEINT)] WHEN regexp_full_match(k,'[0-9A-Fa-f]+(-[0-9A-Fa-f]+)+:[0-9]+') THEN [TRY_CAST(split_part(k,':',-1) AS HUGEINT)] ELSE list_transform(regexp_extract_all(k,'\d+'),lambda x: TRY_CAST(x AS HUGEINT)) END AS o FROM e WHERE k IS NOT NULL),
+c AS (SELECT s,t,max(o) AS cut FROM o WHERE op='truncate' GROUP BY ALL),
+x AS (SELECT s,t,o,k,coalesce(a,b) AS id,1 AS w FROM o WHERE op IN ('insert','update') UNION ALL SELECT s,t,o,k,coalesce(b,a),0 FROM o WHERE op='delete' UNION ALL SELECT s,t,o,k,b,0 FROM o WHERE op='update' AND a<>b),
+l AS (SELECT x.*,row_number() OVER (PARTITION BY x.s,x.t,x.id ORDER BY x.o DESC,x.w DESC) AS r FROM x LEFT JOIN c ON x.s=c.s AND x.t=c.t WHERE x.id IS NOT NULL AND (c.cut IS NULL OR x.o>c.cut))
+SELECT s AS source,t AS table_name,id AS row_id,k AS checkpoint_token FROM l WHERE r=1 AND w=1
+"""
