@@ -65,10 +65,10 @@ def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[f
         .withColumn("pos", F.monotonically_increasing_id())
     )
     # Null-safe group identity for the joins below.
-    gid = F.xxhash64(*[F.coalesce(F.to_json(F.struct(*keys)), F.lit(""))]) if groups else F.lit(0).cast("bigint")
+    gid = F.to_json(F.struct(*keys)) if groups else F.lit("")
     tagged = ordered.withColumn("gid", gid)
     # One row per (partition, group): partitions + groups rows at most, whatever the number of values.
-    counts = stage(tagged.groupBy("gid", *groups, "pid").agg(F.sum("n").alias("held")))
+    counts = stage(ordered.groupBy(*groups, "pid").agg(F.sum("n").alias("held")).withColumn("gid", gid))
     totals = counts.groupBy("gid").agg(F.sum("held").alias("total"))
     offsets = running_total(counts, ["gid"], ["pid"], "held", "offset").join(totals, "gid")
     wanted = offsets.withColumn("fraction", F.explode(F.array(*[F.lit(float(p)) for p in fractions])))
