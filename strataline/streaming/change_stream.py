@@ -6,29 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strataline.operators.change_feed import KEY, apply_changes
+from strataline.operators.change_feed import KEY, touches
+
+_TABLE = ["source", "table_name"]
+
+
+def _state(spark: SparkSession, state_path: str, number: int) -> tuple[DataFrame, DataFrame] | None:
+    """(newest touch of every row, last truncation of every table) after a batch; None before the first."""
+    if number < 0:
+        return None
+    return spark.read.parquet(f"{state_path}/{number}/rows"), spark.read.parquet(f"{state_path}/{number}/cuts")
+
+
+def merge_batch(batch: DataFrame, before: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """The state after one more batch of events: per row the newest touch in commit order, tombstones included, so that a late
+    older change cannot bring a row back; per table the last truncation, which drops what lies before it."""
+    rows, cuts = touches(batch)
+    rows = rows.select(*KEY, "ord", "writes", "checkpoint_token")
+    if before:
+        rows, cuts = rows.unionByName(before[0]), cuts.unionByName(before[1])
+    cuts = cuts.groupBy(*_TABLE).agg(F.max("cut_at").alias("cut_at"))
+    newest = F.max_by(F.struct("ord", "writes", "checkpoint_token"), F.struct("ord", "writes")).alias("t")
+    kept = rows.join(cuts, _TABLE, "left").filter("cut_at is null or ord > cut_at").groupBy(*KEY).agg(newest)
+    return kept.select(*KEY, "t.*"), cuts
 
 
 def follow_changes(events: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest change of every row up to date from a stream of change events.
+    """Keep the current rows of every table from a stream of change events, in any order of arrival.
 
-    Every micro-batch is resolved by :func:`apply_changes` together with the state written before; states are
-    written under the batch's number, so a repeated batch rewrites its own. Deletions older than the state's image
-    of a row are kept out because rows keep their commit order. ``availableNow`` ends the query with the data.
+    A micro-batch is merged into the state of the batch before it and written under its own number, so a repeated batch
+    rewrites its own. What is moved is bounded by the rows of the tables and the batch, not by the feed's history.
+    The query ends with the data that is there.
     """
     spark = events.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        log = f"{state_path}/log"
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        seen = spark.read.parquet(log).drop("batch")
-        apply_changes(seen, images=False).write.mode("overwrite").parquet(f"{state_path}/rows_{number}")
+        rows, cuts = merge_batch(batch.persist(), _state(spark, state_path, number - 1))
+        rows.write.mode("overwrite").parquet(f"{state_path}/{number}/rows")
+        cuts.write.mode("overwrite").parquet(f"{state_path}/{number}/cuts")
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_rows(spark: SparkSession, state_path: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{state_path}/rows_{number}").select(*KEY, "checkpoint_token")
+    """The rows that exist after a batch."""
+    return _state(spark, state_path, number)[0].filter("writes").select(*KEY, "checkpoint_token")
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,5 +1,8 @@
+import random
+
 from strataline.cdc import EVENT_COLUMNS
-from strataline.streaming.change_stream import current_rows, follow_changes, windowed_counts
+from strataline.operators.change_feed import apply_changes
+from strataline.streaming.change_stream import current_rows, follow_changes, merge_batch, windowed_counts
 from tests.test_change_feed import event
 
 
@@ -15,6 +18,20 @@ def test_change_stream(spark, tmp_path):
         assert rows == ([(1, "1"), (2, "2")] if i == 0 else [(2, "2")])
 
 
+def test_batches_in_any_order_give_what_one_pass_gives(spark):
+    rng, events = random.Random(3), []
+    for n in range(1, 120):
+        a, b = rng.randrange(8), rng.randrange(8)
+        op = rng.choice(["insert", "update", "update", "delete"] + ["truncate"] * (n % 41 == 0))
+        events.append(event(n, str(n), op, None if op in ("insert", "truncate") else a, None if op in ("delete", "truncate") else b if rng.random() < 0.3 else a))
+    rng.shuffle(events)
+    state = None
+    for at in range(0, len(events), 40):
+        state = merge_batch(spark.createDataFrame(events[at : at + 40], EVENT_COLUMNS), state)
+    got = sorted((r.row_id, r.checkpoint_token) for r in state[0].filter("writes").collect())
+    assert got == sorted((r.row_id, r.checkpoint_token) for r in apply_changes(spark.createDataFrame(events, EVENT_COLUMNS)).collect())
+
+
 def test_windows(spark):
     df = spark.sql("select timestamp'2021-01-01 00:10:00' as ts, 'a' as k union all select timestamp'2021-01-01 00:50:00', 'a' union all select timestamp'2021-01-01 01:00:00', 'a'")
     assert [r.n for r in windowed_counts(df, "ts", ["k"]).orderBy("window_start").collect()] == [2, 1]
