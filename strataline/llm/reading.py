@@ -163,15 +163,19 @@ def rarities(frequencies: np.ndarray) -> np.ndarray:
     return np.where(held <= few, np.inf, np.log((total + 1) / (held + 1)))
 
 
+class NotGraded(ValueError):
+    """There are no two levels to rank."""
+
+
 def train(documents: DataFrame, labels: DataFrame, *, limit: int = LABEL_LIMIT) -> Model:
     """Fit on graded documents. ``labels``: doc_id, reading_level (1 to 4; others are left out); several grades of one
-    document count as their mean. Fewer than two different levels cannot be ranked and raise ValueError."""
+    document count as their mean. Fewer than two different levels cannot be ranked and raise NotGraded."""
     rarity = rarities(document_frequencies(documents))
     grades = labels.filter(F.col("reading_level").isin(*LEVELS)).groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
     some = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = documents.select("doc_id", "text").filter("text is not null").join(some, "doc_id").select("doc_id", "text", "level").toPandas().sort_values("doc_id")
     if rows["level"].nunique() < 2:
-        raise ValueError("graded documents of at least two levels are needed")
+        raise NotGraded("graded documents of at least two levels are needed")
     return fit(rows["text"].tolist(), rows["level"].to_numpy(), rarity)
 
 
@@ -179,10 +183,16 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, limit: int = LABE
     """(doc_id, n_words, score, calibrated, reading_level) of every document.
 
     ``n_words`` counts words split at white space. Null texts and texts without words have null levels; rows
-    without an id are left out. The language
+    without an id are left out. Without grades of at least two levels all levels are null. The language
     need not be known: words of all languages share one hashed vocabulary. Texts are read whole.
     """
-    model = train(documents, labels, limit=limit)
+    try:
+        model = train(documents, labels, limit=limit)
+    except NotGraded:
+        empty = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("n_words"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
+        words_or_none = F.when(F.coalesce(F.col("t"), F.lit("")) == "", 0).otherwise(F.col("n_words"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("score", "double"), ("calibrated", "double"), ("reading_level", "int"))]
+        return empty.filter("doc_id is not null").select("doc_id", words_or_none.cast("int").alias("n_words"), *none)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

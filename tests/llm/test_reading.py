@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strataline.llm.reading import features, isotonic, rarities, reading_levels, FREQUENCIES
+from strataline.llm.reading import features, isotonic, rarities, reading_levels, train, FREQUENCIES
 
 VOCABULARY = {
     1: "the cat is big and red it sat on my box we like him now".split(),
@@ -47,7 +47,10 @@ def test_held_out_levels(corpus):
 def test_labels_are_needed(corpus):
     docs, labels = corpus
     with pytest.raises(ValueError, match="levels"):
-        reading_levels(docs, labels.limit(0))
+        train(docs, labels.limit(0))
+    got = {r.doc_id: r for r in reading_levels(docs, labels.limit(0)).collect()}
+    assert all(r.reading_level is None for r in got.values()) and got[902].n_words == got[901].n_words == 0 and got[904].n_words > 50
+    assert reading_levels(docs.limit(0), labels).count() == 0
 
 
 @settings(max_examples=50, deadline=None)
