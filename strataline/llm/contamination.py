@@ -2,10 +2,10 @@
 
 Candidates come from SimHash windows: every run of WINDOW words of an item and of a document gets a 64-bit
 fingerprint of its weighted words, and multi-index blocks find all pairs of fingerprints within RADIUS bits:
-fingerprints that differ in at most RADIUS bits agree in one of RADIUS + 1 blocks, so none is missed. Candidates
-are verified exactly: the weighted share of an item's words that lie in shingles of SHINGLE words which
-the document repeats in order with at most one word changed. Words that many items share, the wording of
-templates, weigh little; names, numbers and things weigh much.
+fingerprints that differ in at most RADIUS bits agree in one of RADIUS + 1 blocks, so none is missed. As windows
+of much altered text differ in more bits, every item of whose words a document holds enough, in whatever order, is a
+candidate too; no pair with that share can be missed. Candidates are verified by local in-order alignments, which count the
+item's words found; its own details must be among them, so that passages built alike with others are no cases.
 
 Windows are shorter than items, as half an item must be found wherever it stands. Documents are
 streamed past the items' index, map-only, without a shuffle; items are a bounded set, read in blocks of
@@ -28,11 +28,15 @@ from pyspark.sql import functions as F
 from strataline.llm.words import words
 
 WINDOW, RADIUS, BITS = 8, 3, 64
-SHINGLE, SHINGLE_SAME = 9, 8
-#: Least weighted share of an item that must be found.
+#: Least share of an item's words that must be found.
 SHARE = 0.5
+#: Alignments, in mean words of the item: least score of a stretch (and as a share of a short item), cost of a changed or
+#: dropped word as a share of its weight, cost of a word put in between.
+STRETCH, STRETCH_SHARE, MISSED, EXTRA = 9.0, 0.3, 0.7, 0.35
+#: Share of an item's own details that its stretches must hold.
+OWN = 0.55
 #: Items of one pass; words of a document handled at once.
-ITEM_BLOCK, SLICE = 2000, 20_000
+ITEM_BLOCK, SLICE = 2000, 5_000
 
 _BLOCK = BITS // (RADIUS + 1)
 _WEIGHTS = 8
@@ -47,10 +51,21 @@ def _near(word: str) -> set[str]:
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
+def details(items: list[tuple[int, list[str]]]) -> list[np.ndarray]:
+    """Which words of each item are its own (names, numbers, things): other words stand in items between the same two neighbours."""
+    between: dict[tuple[str, str], set[str]] = {}
+    frames = [[(ws[j - 1] if j else "", ws[j + 1] if j + 1 < len(ws) else "") for j in range(len(ws))] for _, ws in items]
+    for (_, ws), around in zip(items, frames, strict=True):
+        for w, f in zip(ws, around, strict=True):
+            between.setdefault(f, set()).add(w)
+    return [np.array([len(between[f]) > 1 for f in around], bool) for around in frames]
+
+
 class ItemIndex:
     """Fingerprints, weights and words of a block of items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], counts: Counter, total: int):
+    def __init__(self, items: list[tuple[int, list[str]]], counts: Counter, total: int, own: list[np.ndarray] | None = None):
+        self.own = details(items) if own is None else own
         self.ids = [i for i, _ in items]
         self.weight = {w: math.log((total + 1) / (c + 0.5)) for w, c in counts.items()}
         self.most = math.log((total + 1) / 0.5)
@@ -62,10 +77,17 @@ class ItemIndex:
                 for key in _near(w):
                     self.by_near.setdefault(key, []).append(k)
         self.words = [np.array([self.number[w] for w in ws], np.int32) for _, ws in items]
-        self.share = []
-        for _, ws in items:
+        self.lengths = np.array([len(ws) for _, ws in items], np.int64)
+        self.mean_weight = []
+        holders: list[list[int]] = [[] for _ in vocabulary]
+        times: list[list[int]] = [[] for _ in vocabulary]
+        for k, (_, ws) in enumerate(items):
             x = np.array([self.weight[w] for w in ws])
-            self.share.append(x / x.sum() if x.sum() else np.full(len(ws), 1 / max(1, len(ws))))
+            self.mean_weight.append(x / x.mean() if x.sum() else np.ones(len(ws)))
+            for w, n in Counter(ws).items():
+                holders[self.number[w]].append(k)
+                times[self.number[w]].append(n)
+        self.holders, self.times = [np.array(h) for h in holders], [np.array(t) for t in times]
         prints, owner = [], []
         self._bits: dict[str, np.ndarray] = {}
         for k, (_, ws) in enumerate(items):
@@ -137,58 +159,77 @@ class ItemIndex:
             known = self._known[word] = (exact, tuple(sorted(near)))
         return known
 
-    def covered(self, item: int, ws: list[str]) -> np.ndarray:
-        """Which of the item's words lie in shingles that these words repeat in order."""
+    def _same(self, item: int, ws: list[str]) -> np.ndarray:
+        """Which of the item's words (rows) equal these words (columns), one edit in a word allowed."""
         a = self.words[item]
         known = [self._numbers(w) for w in ws]
         same = a[:, None] == np.array([k for k, _ in known], np.int32)[None, :]
         for j, (_, near) in enumerate(known):
             if near:
                 same[:, j] |= np.isin(a, near)
+        return same
+
+    def covered(self, item: int, ws: list[str]) -> np.ndarray:
+        """Which of the item's words lie in stretches that these words repeat in order.
+
+        Local alignments from both sides, their scores bounded by the least score of a stretch: a word repeated earns its
+        weight, one changed or dropped costs MISSED of it, one put in between EXTRA of a mean word. A word is
+        covered if the best alignment through it reaches the least score.
+        """
+        weight = self.mean_weight[item]
+        least = min(STRETCH, STRETCH_SHARE * len(weight))
+        same = self._same(item, ws)
+        if (weight * same.any(axis=1)).sum() < least:
+            return np.zeros(len(weight), bool)
+        both = np.stack([same, same[::-1, ::-1]])
+        gain = np.stack([weight, weight[::-1]])[:, :, None]
         m, n = same.shape
-        # One word put in or left out moves the rest by one.
-        wide = same.copy()
-        wide[:, 1:] |= same[:, :-1]
-        wide[:, :-1] |= same[:, 1:]
-        size = min(SHINGLE, m)
-        need = size - (SHINGLE - SHINGLE_SAME)
-        count = np.zeros((m, n), np.int16)
-        for k in range(min(size, n)):
-            count[: m - k, : n - k] += wide[k:, k:]
-        good = count >= need
-        cover = np.zeros((m, n), bool)
-        for k in range(min(size, n)):
-            cover[k:, k:] |= good[: m - k, : n - k]
-        return (cover & wide).any(axis=1)
-
-    def search(self, ws: list[str]) -> Iterator[tuple[int, float]]:
-        """(item id, weighted share found) of every candidate item of one document."""
-        spots: dict[int, list[np.ndarray]] = {}
+        put = np.arange(n) * EXTRA
+        best, before = np.empty((2, m, n)), np.zeros((2, n))
+        for i in range(m):
+            diagonal = np.zeros((2, n))
+            diagonal[:, 1:] = before[:, :-1]
+            step = np.where(both[:, i], diagonal + gain[:, i], np.maximum(diagonal, before) - MISSED * gain[:, i])
+            step = np.maximum(np.maximum(step, before - MISSED * gain[:, i]), 0)
+            before = best[:, i] = np.minimum(np.maximum.accumulate(step + put, axis=1) - put, least)
+        return (same & (best[0] + best[1, ::-1, ::-1] - weight[:, None] >= least - 1e-9)).any(axis=1)
+
+    def _has_own(self, item: int, found: np.ndarray) -> bool:
+        """Whether the stretches found hold the item's own details and not only wording that it shares."""
+        at = np.nonzero(found)[0]
+        stretch = found.copy()
+        for a, b in zip(at, at[1:], strict=False):
+            if b - a <= WINDOW:
+                stretch[a:b] = True
+        return (found & self.own[item]).sum() >= OWN * (stretch & self.own[item]).sum()
+
+    def candidates(self, ws: list[str], share: float) -> set[int]:
+        """Items that these words may hold: no item is left out of whose words at least ``share`` are among them."""
+        held: set[int] = set()
+        for w in set(ws):
+            exact, near = self._numbers(w)
+            held.update(near if exact < 0 else (exact,))
+        count = np.zeros(len(self.ids), np.int64)
+        for k in held:
+            count[self.holders[k]] += self.times[k]
+        return set(np.nonzero((count > 0) & (count >= share * self.lengths - 1e-9))[0].tolist())
+
+    def search(self, ws: list[str], share: float = SHARE) -> Iterator[tuple[int, float]]:
+        """(item id, share of its words found) of every candidate item of one document."""
+        spots = self.candidates(ws, share)
         for at in range(0, max(1, len(ws)), SLICE):
-            part = ws[at : at + SLICE + WINDOW - 1]
-            w, i = self.hits(self.fingerprints(part))
-            for item in np.unique(i):
-                spots.setdefault(int(item), []).append(np.unique(w[i == item]) + at)
-        for item, where in spots.items():
+            spots.update(self.hits(self.fingerprints(ws[at : at + SLICE + WINDOW - 1]))[1].tolist())
+        for item in sorted(spots):
             m = len(self.words[item])
-            reach, found, end = m + SHINGLE, np.zeros(m, bool), -1
-            # Only the surroundings of hits are compared; near ones are taken together.
-            regions: list[list[int]] = []
-            for p in np.concatenate(where).tolist():
-                lo, hi = max(0, p - reach), min(len(ws), p + WINDOW + reach)
-                if regions and lo <= end:
-                    regions[-1][1] = end = max(end, hi)
-                else:
-                    regions.append([lo, hi])
-                    end = hi
-            for lo, hi in regions:
-                for cut in range(lo, hi, SLICE):
-                    found |= self.covered(item, ws[cut : min(hi, cut + SLICE + reach)])
-            yield self.ids[item], float(self.share[item][found].sum())
+            found = np.zeros(m, bool)
+            for cut in range(0, len(ws), SLICE):
+                # Slices overlap by more than a stretch can reach.
+                found |= self.covered(item, ws[cut : cut + SLICE + 4 * m])
+            yield self.ids[item], float(found.mean()) if self._has_own(item, found) else 0.0
 
 
 def leaks(documents: DataFrame, items: DataFrame, *, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, share) of documents whose text holds at least ``share`` of an item.
+    """(doc_id, item_id, share) of documents whose text holds at least ``share`` of an item's words.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Case, accents, punctuation, spacing, markup and
     line breaks do not count; single words may be changed, dropped or put in between. Null and empty texts,
@@ -199,21 +240,23 @@ def leaks(documents: DataFrame, items: DataFrame, *, share: float = SHARE) -> Da
     rows = sorted((int(r["item_id"]), words(r["text"])) for r in wanted.toLocalIterator())
     rows = [(i, ws) for i, ws in rows if ws]
     counts = Counter(w for _, ws in rows for w in set(ws))
+    own = details(rows)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
 
-    def run(block: list[tuple[int, list[str]]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((block, Counter({w: counts[w] for _, ws in block for w in ws}), len(rows)))
+    def run(at: int) -> DataFrame:
+        block = rows[at : at + ITEM_BLOCK]
+        sent = spark.sparkContext.broadcast((block, Counter({w: counts[w] for _, ws in block for w in ws}), len(rows), own[at : at + ITEM_BLOCK]))
 
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = None
             for pdf in batches:
                 index = index or ItemIndex(*sent.value)
-                out = [(d, i, s) for d, text in zip(pdf["doc_id"], pdf["text"], strict=True) for i, s in index.search(words(text)) if s >= share]
+                out = [(d, i, s) for d, text in zip(pdf["doc_id"], pdf["text"], strict=True) for i, s in index.search(words(text), share) if s >= share]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
 
         return docs.mapInPandas(find, "doc_id bigint, item_id bigint, share double")
 
     if not rows:
         return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id"), F.lit(0.0).alias("share")).limit(0)
-    parts = [run(rows[at : at + ITEM_BLOCK]) for at in range(0, len(rows), ITEM_BLOCK)]
+    parts = [run(at) for at in range(0, len(rows), ITEM_BLOCK)]
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

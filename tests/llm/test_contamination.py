@@ -82,3 +82,30 @@ def test_blocks_find_every_fingerprint_within_the_radius(items):
     far = np.bitwise_count(prints[:, None] ^ index.prints[None, :])
     want = {(int(a), int(index.owners[b])) for a, b in zip(*np.nonzero(far <= RADIUS), strict=True)}
     assert got == want
+
+
+def test_altered_parts_of_items_are_found():
+    """Seven tenths of an item with a fifth of the words changed, dropped or put in between; half of its words are kept."""
+    rng = random.Random(20)
+    places = [f"{a}{b}{c}" for a in ("ba", "ko", "mi", "ru") for b in ("len", "dor", "vis", "tam") for c in ("a", "o", "eth", "ur")]
+    rows = [(i, words(" ".join(f"{item(rng)} {' '.join(rng.sample(places, 6))}".split()))) for i in range(1, 41)]
+    index = ItemIndex(rows, Counter(w for _, ws in rows for w in set(ws)), len(rows))
+    cases = lost = 0
+    for i, ws in rows:
+        part, kept, out = ws[: int(0.7 * len(ws)) + 1], 0, ["some", "other", "words", "before"] * 5
+        for w in part:
+            r = rng.random() if rng.random() < 0.2 else 1.0
+            kept += r > 2 / 3
+            out += ["altered"] if r < 1 / 3 else [] if r < 2 / 3 else [w, "between"] if r < 1 else [w]
+        if kept >= 0.52 * len(ws):
+            cases += 1
+            lost += dict(index.search(out)).get(i, 0) < 0.5
+    assert cases > 20 and lost <= 0.05 * cases, (lost, cases)
+
+
+def test_words_in_another_order_or_with_other_details_are_no_leak(items):
+    rng = random.Random(21)
+    rows = [(i, words(t)) for i, t in items.items()]
+    index = ItemIndex(rows, Counter(w for _, ws in rows for w in set(ws)), len(rows))
+    for _, ws in rows:
+        assert all(s < 0.5 for _, s in index.search(rng.sample(ws, len(ws)))) and all(s < 0.5 for _, s in index.search(words(item(rng))))
