@@ -3,8 +3,9 @@
 Each file of a feed is profiled field by field: the JSON kinds of its values and a value sketch (tokens of
 texts, logarithmic bins of numbers, shares of booleans, keys of objects). Presence and kinds are compared
 by joins; removed and added fields of one file are matched by a bipartite assignment on sketches, kinds and names,
-and pairs that are close enough are renames. All lines count; in every task they are reduced to one
-sketch per (feed, file, field) before anything is shuffled.
+and pairs that are close enough are renames. All lines and all their tokens count; in every task they are reduced to
+counts per (feed, file, field) before anything is shuffled. Tokens of removed and added fields are compared by a join, so a
+field of any number of tokens is compared whole and no task holds it.
 """
 
 from __future__ import annotations
@@ -17,15 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.common import salted_lookup, stage
 
-#: Tokens kept per (feed, file, field): those with the smallest hashes, so sketches of two files keep the
-#: same ones. Kinds, bins and keys are always whole.
-SKETCH_TOKENS = 256
+#: Counts held in a task before they are handed on; they are added up afterwards.
+HELD_COUNTS = 500_000
 #: Least score of a pair of fields to count as a rename.
 RENAME_SCORE = 0.25
 
@@ -65,23 +64,22 @@ def features(value: object) -> list[str]:
     return []
 
 
-def _order(feature: str) -> int:
-    return xxhash.xxh64_intdigest(feature) >> 1
-
-
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict = defaultdict(Counter)
 
     def drain() -> pd.DataFrame:
         rows = []
         for (feed, file_no, path), seen in held.items():
-            tokens = sorted((f for f in seen if f[:2] == "t:"), key=_order)[:SKETCH_TOKENS]
-            rows += [(feed, file_no, path, f, seen[f]) for f in [*tokens, *(f for f in seen if f[:2] != "t:")]]
+            rows += [(feed, file_no, path, f, n) for f, n in seen.items()]
         held.clear()
         return pd.DataFrame(rows, columns=["feed", "file_no", "path", "feature", "n"])
 
+    size = 0
     for pdf in batches:
         for feed, file_no, payload in zip(pdf["feed"], pdf["file_no"], pdf["payload"], strict=True):
+            if size > HELD_COUNTS:
+                yield drain()
+                size = 0
             try:
                 record = json.loads(payload)
             except (TypeError, ValueError, RecursionError):
@@ -92,10 +90,10 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held[feed, file_no, ""]["objects"] += 1
             for path, value in walk(record):
                 seen = held[feed, file_no, path]
+                size -= len(seen)
                 seen[f"k:{_KINDS.get(type(value), 'null')}"] += 1
                 seen.update(features(value))
-        if len(held) > 20_000:
-            yield drain()
+                size += len(seen)
     if held:
         yield drain()
 
@@ -152,8 +150,9 @@ def _plain(sketch: Counter) -> Counter:
     return out
 
 
-def content_similarity(a: Counter, b: Counter) -> float:
-    """Likeness of two value sketches, 0 to 1: by the kind of content that most values of the first have."""
+def content_similarity(a: Counter, b: Counter, shared: float) -> float:
+    """Likeness of two value sketches, 0 to 1: by the kind of content that most values of the first have. ``shared`` is
+    the likeness of their tokens."""
     split = lambda s: {c: Counter({f[2:]: n for f, n in s.items() if f[:2] == c}) for c in ("t:", "n:", "b:", "o:")}
     x, y = split(a), split(b)
     kind = max(x, key=lambda c: sum(x[c].values()))
@@ -164,17 +163,17 @@ def content_similarity(a: Counter, b: Counter) -> float:
     if kind == "o:":
         p, q = {tuple(name_parts(k)) for k in x[kind]}, {tuple(name_parts(k)) for k in y[kind]}
         return len(p & q) / max(1, min(len(p), len(q)))
-    return _overlap(x[kind], y[kind])
+    return shared if kind == "t:" else _overlap(x[kind], y[kind])
 
 
-def pair_score(old: str, a: Counter, new: str, b: Counter) -> float:
+def pair_score(old: str, a: Counter, new: str, b: Counter, shared: float) -> float:
     """How much a removed and an added field look like one field under two names.
 
     Texts and objects are recognised by what they hold; numbers and booleans, whose values say less, need
     a likeness of names or the same parent besides.
     """
     a, b = _plain(a), _plain(b)
-    content, name = content_similarity(a, b), name_similarity(old, new)
+    content, name = content_similarity(a, b, shared), name_similarity(old, new)
     top = Counter()
     for f, n in a.items():
         if f[:2] in ("t:", "n:", "b:", "o:"):
@@ -229,13 +228,13 @@ def _inside(path: str, roots: set[str]) -> bool:
     return any(path.startswith(f"{r}.") for r in roots)
 
 
-def match_fields(removed: dict[str, Counter], added: dict[str, Counter]) -> list[tuple[str, str, float]]:
+def match_fields(removed: dict[str, Counter], added: dict[str, Counter], shared: dict[tuple[str, str], float]) -> list[tuple[str, str, float]]:
     """Renames among removed and added fields: whole subtrees first, then fields that left a removed object
-    or went into an added one."""
+    or went into an added one. ``shared``: likeness of the tokens of (removed, added) fields that have any in common."""
     found: list[tuple[str, str, float]] = []
 
     def take(olds: list[str], news: list[str]) -> None:
-        score = np.array([[pair_score(o, removed[o], n, added[n]) for n in news] for o in olds]).reshape(len(olds), len(news))
+        score = np.array([[pair_score(o, removed[o], n, added[n], shared.get((o, n), 0.0)) for n in news] for o in olds]).reshape(len(olds), len(news))
         found.extend((olds[i], news[j], float(score[i, j])) for i, j in assign(np.where(score >= RENAME_SCORE, score, 0.0)) if score[i, j] >= RENAME_SCORE)
 
     top_old = [p for p in removed if not _inside(p, set(removed))]
@@ -253,10 +252,14 @@ def match_fields(removed: dict[str, Counter], added: dict[str, Counter]) -> list
 
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     sides: dict[str, dict[str, Counter]] = {"removed": defaultdict(Counter), "added": defaultdict(Counter)}
-    for kind, path, feature, n in zip(pdf["change_kind"], pdf["field_path"], pdf["feature"], pdf["n"], strict=True):
-        sides[kind][path][feature] += n
+    shared: dict[tuple[str, str], float] = {}
+    for kind, path, feature, n, share in zip(pdf["change_kind"], pdf["field_path"], pdf["feature"], pdf["n"], pdf["share"], strict=True):
+        if kind == "shared":
+            shared[path, feature] = share
+        else:
+            sides[kind][path][feature] += n
     feed, file_no = pdf["feed"].iloc[0], pdf["file_no"].iloc[0]
-    renames = match_fields(sides["removed"], sides["added"])
+    renames = match_fields(sides["removed"], sides["added"], shared)
     old, new = {o for o, _, _ in renames}, {n for _, n, _ in renames}
     rows = [(feed, file_no, "renamed", o, n, s) for o, n, s in renames]
     for kind, done in (("removed", old), ("added", new)):
@@ -264,6 +267,26 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["feed", "file_no", "change_kind", "field_path", "new_path", "score"])
 
 
+def _with_shared_tokens(detail: DataFrame) -> DataFrame:
+    """Sketch entries of removed and added fields with each field's tokens as one entry ``t:``, and an entry of kind ``shared``
+    (removed path, added path as feature, share) for each pair of fields with a token in common."""
+    unit = ["feed", "file_no", "change_kind", "field_path"]
+    is_token = F.col("feature").startswith("t:")
+    tokens = detail.filter(is_token)
+    totals = tokens.groupBy(*unit).agg(F.sum("n").alias("n"))
+    parts = tokens.join(totals.withColumnRenamed("n", "total"), unit).select(*unit, "feature", (F.col("n") / F.col("total")).alias("part"))
+    old = parts.filter("change_kind = 'removed'").select("feed", "file_no", "feature", "field_path", F.col("part").alias("old"))
+    new = parts.filter("change_kind = 'added'").select("feed", "file_no", "feature", F.col("field_path").alias("new_path"), F.col("part").alias("new"))
+    # Rounded, so that the order of adding up changes nothing.
+    pairs = old.join(new, ["feed", "file_no", "feature"]).groupBy("feed", "file_no", "field_path", "new_path").agg(F.round(F.sum(F.least("old", "new")), 12).alias("share"))
+    none = F.lit(None).cast("double").alias("share")
+    return (
+        detail.filter(~is_token).select(*unit, "feature", "n", none)
+        .unionByName(totals.select(*unit, F.lit("t:").alias("feature"), "n", none))
+        .unionByName(pairs.select("feed", "file_no", F.lit("shared").alias("change_kind"), "field_path", F.col("new_path").alias("feature"), F.lit(0).cast("bigint").alias("n"), "share"))
+    )
+
+
 CHANGES = "feed string, file_no int, change_kind string, field_path string, new_path string, score double"
 
 
@@ -310,7 +333,7 @@ def changes(sketches: DataFrame) -> DataFrame:
     old = moved.filter("change_kind = 'removed'").select("feed", (F.col("file_no") - 1).alias("at"), "file_no", "change_kind", "field_path")
     new = moved.filter("change_kind = 'added'").select("feed", F.col("file_no").alias("at"), "file_no", "change_kind", "field_path")
     detail = old.unionByName(new).join(sketch.withColumnRenamed("file_no", "at"), ["feed", "at", "field_path"]).drop("at")
-    matched = stage(detail.groupBy("feed", "file_no").applyInPandas(_match, CHANGES))
+    matched = stage(_with_shared_tokens(stage(detail)).groupBy("feed", "file_no").applyInPandas(_match, CHANGES))
     reported = matched.filter("change_kind <> 'type_changed'").select("feed", "file_no", F.explode(F.array("field_path", F.nullif("new_path", F.lit("")))).alias("path")).filter("path is not null")
     covers = reported.unionByName(typed.select("feed", "file_no", F.col("field_path").alias("path")))
     kept = _outside(typed, covers).select("feed", "file_no", "change_kind", "field_path", F.lit("").alias("new_path"), F.lit(None).cast("double").alias("score"))

@@ -3,10 +3,11 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strataline.operators.drift import assign, changes, name_similarity, profile, unify
+from strataline.operators.drift import _sketch, assign, changes, name_similarity, profile, unify
 
 
 def lines(spark, files, feed="f"):
@@ -71,3 +72,23 @@ def test_assignment_is_optimal(n, m, seed):
 
 def test_names():
     assert name_similarity("a.bytes_written", "b.bytesWritten") == 1 and name_similarity("env", "tier") < 0.3
+
+
+def test_renamed_texts_of_a_hot_file_are_compared_whole(spark):
+    """Most of the hot file's values are four frequent words; they stand among thousands of rare ones."""
+    hot = [{"stage": f"rare{i}" if i % 3 == 0 else ["prod", "dev", "qa", "live"][i % 4]} for i in range(18000)]
+    few = [{"label": w} for w in ("prod", "dev", "qa", "live")] * 3
+    assert found(spark, {1: hot, 2: few}) == [(2, "renamed", "stage", "label")]
+
+
+def test_sketches_do_not_depend_on_splits(spark):
+    rows = lines(spark, {1: [{"note": f"w{i % 700} v{i % 11}"} for i in range(2000)]})
+    one, many = ({tuple(r) for r in profile(rows.repartition(k, "line_no")).collect()} for k in (1, 5))
+    assert one == many and sum(r[4] for r in one if r[3].startswith("t:")) == 4000
+
+
+def test_counts_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr("strataline.operators.drift.HELD_COUNTS", 10)
+    rows = pd.DataFrame([("f", 1, json.dumps({"note": f"w{i % 30}"})) for i in range(300)], columns=["feed", "file_no", "payload"])
+    parts = list(_sketch(iter([rows])))
+    assert len(parts) > 5 and pd.concat(parts).query("path == 'note' and feature == 'k:string'").n.sum() == 300
