@@ -23,9 +23,11 @@ from strataline.common import stage
 #: A departure must exceed CHANCE standard errors and EFFECT in share; distributions (greatest difference of the
 #: cumulative shares) and repetition, which are smoother, must exceed SHIFT_CHANCE and SHIFT.
 CHANCE, EFFECT, SHIFT_CHANCE, SHIFT = 6.0, 0.08, 5.0, 0.15
-#: Least loads of a source for comparisons; most distinct values of a column to compare them one by one; cut
+#: Least loads of a source for comparisons; pools of the values too rare to compare one by one; cut
 #: points of numeric distributions; widths by which a value must leave the usual range.
-MIN_LOADS, CATEGORIES, CUTS, REACH = 4, 64, 20, 1.5
+MIN_LOADS, POOLS, CUTS, REACH = 4, 16, 20, 1.5
+#: Least rows of a value for its share to exceed CHANCE errors where its usual share is 0 (the error is then at least sqrt(0.5) / (n + 1)).
+LEAST_ROWS = 4
 
 #: Bits to keep one more expression in the list, whatever it says.
 EXPRESSION_BITS = 16.0
@@ -104,8 +106,23 @@ def _shares(values: DataFrame, counts: DataFrame) -> DataFrame:
         .groupBy(*UNIT, F.coalesce("expression", F.lit("")).alias("feature")).agg(F.sum("k").alias("k"))
         .select(*UNIT, F.lit("shape").alias("kind"), "feature", "k")
     )
-    narrow = known.groupBy("source", "column_name", "value").agg(F.lit(1).alias("one")).groupBy("source", "column_name").agg(F.sum("one").alias("d")).filter(F.col("d") <= CATEGORIES)
-    mixed = known.join(narrow, ["source", "column_name"], "left_semi").select(*UNIT, F.lit("mix").alias("kind"), F.col("value").alias("feature"), F.col("n").alias("k"))
+    # Only values with a share above EFFECT in some load (by more rows than chance gives) or usually can depart; they are compared
+    # one by one. The other values of texts are compared in pools, and by the share that no other load of the source has.
+    at = ["source", "column_name", "value"]
+    share = known.withColumnRenamed("n", "k").join(held, UNIT).withColumn("high", F.col("k") / F.col("n") > EFFECT)
+    loads = units.filter("held > 0").groupBy("source", "column_name").agg(F.count(F.lit(1)).alias("loads"))
+    each = share.groupBy(*at).agg(
+        F.count(F.lit(1)).alias("seen"), F.sum(F.col("high").cast("int")).alias("often"), F.max(F.col("high") & (F.col("k") >= LEAST_ROWS)).alias("clear"),
+    ).join(loads, ["source", "column_name"])
+    single = F.col("clear") | (F.col("often") * 2 >= F.col("loads"))
+    marked = known.join(each.select(*at, "seen", single.alias("single")), at)
+    text = marked.filter("data_type = 'string'")
+    mix = lambda rows, feature: rows.groupBy(*UNIT, feature.alias("feature")).agg(F.sum("n").alias("k")).select(*UNIT, F.lit("mix").alias("kind"), "feature", "k")
+    mixed = (
+        mix(marked.filter("single"), F.concat(F.lit("="), "value"))
+        .unionByName(mix(text.filter("not single"), F.concat(F.lit("pool "), F.pmod(F.xxhash64("value"), F.lit(POOLS)).cast("string"))))
+        .unionByName(mix(text.filter("seen = 1"), F.lit("unseen elsewhere")))
+    )
     # Numeric distributions: cumulative shares at cut points of the source's distinct values.
     numeric = known.filter("number is not null and not isnan(number)")
     points = [i / CUTS for i in range(1, CUTS)]

@@ -72,3 +72,26 @@ def test_empty_and_all_null(spark):
     assert departures(values, counts).count() == 0
     values, counts = profile(df.limit(0), "site", "load_no", ["score", "name"])
     assert counts.count() == 0 and departures(values, counts).count() == 0
+
+
+def test_mix_is_compared_whatever_the_number_of_values(spark):
+    """A load of garbage groups does not switch the comparison off for the other loads."""
+
+    def change(load, i, row):
+        if load == 2 and i < 100:
+            row[3] = "g" + "abcdefghijklmnopqrstuvwxyz"[i % 26] + str(i)
+        if load == 6 and i < 100:
+            row[3] = "g2"
+        return row
+
+    assert (6, "grp", "mix") in found(spark, change)
+
+
+def test_names_of_another_population(spark):
+    """Names of the same shape and repetition that no other load has."""
+    rng = random.Random(5)
+    letters = "abcdefghij"
+    known, strange = ([f"{c}{x}{y}{z}" for x in letters for y in letters for z in letters[:2]] for c in ("Ka", "Zu"))
+    df = spark.createDataFrame([("s", load, rng.choice(strange if load == 5 else known)) for load in range(1, 9) for _ in range(300)], "site string, load_no int, name string")
+    values, counts = profile(df, "site", "load_no", ["name"])
+    assert {(r.load, r.reason) for r in departures(values, counts).collect()} == {(5, "mix")}
