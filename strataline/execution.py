@@ -14,8 +14,8 @@ from strataline.operators.dataset import Dataset
 
 @dataclass(frozen=True)
 class ExecutionOptions:
-    """``num_threads``: tasks wanted at once (None: what Spark has); ``chunk_size``: rows of a partition;
-    ``max_in_flight_chunks``: most partitions at once."""
+    """Checked, but Spark decides: ``chunk_size`` has no effect; ``num_threads`` and ``max_in_flight_chunks`` bound
+    nothing and only enter the computed ``max_active_chunks``."""
 
     num_threads: int | None = None
     chunk_size: int = 4096
@@ -51,7 +51,7 @@ def stderr_observer(event: ExecutionEvent) -> None:
 
 
 class ExecutionEngine:
-    """Chunks are batches of at most ``chunk_size`` rows inside Spark's tasks. Spark schedules the tasks and bounds how
+    """Chunks are Spark's Arrow batches inside its tasks, whatever ``chunk_size``. Spark schedules the tasks and bounds how
     many run at once, so there is no wait of ours to report. Chunks and rows are counted where they run, by
     accumulators (a repeated task counts again), and chunk events are passed on when the run has finished."""
 
