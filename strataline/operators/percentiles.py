@@ -89,8 +89,10 @@ def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[f
     )
     share = (F.first("total") - 1) * F.col("fraction")
     under, over = F.min_by("value", "rank"), F.max_by("value", "rank")
+    # The nearest value is taken as it is: between two infinite ones the difference is NaN.
+    between = under if method == "nearest" else under + (over - under) * (share - F.floor(share))
     return (
         hits.groupBy("gid", *groups, "fraction")
-        .agg((under + (over - under) * (share - F.floor(share))).alias("value"), F.first("total").alias("n"))
+        .agg(between.alias("value"), F.first("total").alias("n"))
         .select(*groups, "fraction", "value", "n", F.lit(0).cast("bigint").alias("rank_error"))
     )

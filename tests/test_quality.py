@@ -40,6 +40,14 @@ def test_nearest_quantiles_agree(spark, monkeypatch):
     assert [r["value"] for r in fast] == [100.0, 500.0, 950.0]
 
 
+def test_nearest_quantiles_of_infinite_values_agree(spark, monkeypatch):
+    df = spark.range(100).selectExpr("'g' as g", "case when id < 20 then double('-Infinity') when id >= 80 then double('Infinity') else double(id) end as v")
+    fast = quantile.nearest_quantiles(df, "g", "v", [0.0, 0.5, 1.0]).orderBy("fraction").collect()
+    monkeypatch.setattr(quantile, "ONE_TASK", 10)
+    assert quantile.nearest_quantiles(df, "g", "v", [0.0, 0.5, 1.0]).orderBy("fraction").collect() == fast
+    assert [r["value"] for r in fast] == [-float("inf"), 50.0, float("inf")]
+
+
 def test_validation(data):
     checks = [
         {"kind": "not_null", "column": "name", "severity": "warn"}, {"kind": "range", "column": "score", "min": 0, "max": 100}, {"kind": "unique", "column": "id", "severity": "info"},
