@@ -20,7 +20,8 @@ ORACLE = {
     ),
 }
 
-# The range, stuck and gap rules of problem 5 alone; the daily profiles only ever confirm them on these data.
+# The range and stuck rules of problem 5 and the check that follows the daily profiles. SQL has no pursuit: readings that the check alone
+# would take, such as a short level of its own (tests/test_spikes.py), do not occur in these data.
 ORACLE["p5_found"] = r"""
 WITH once AS (SELECT * FROM (SELECT *,row_number() OVER (PARTITION BY run_id ORDER BY received_at DESC) AS rn FROM job_runs_sample) WHERE rn=1),
 r AS (SELECT job_id,run_id,created_time AS began,metrics.duration_ms AS v,coalesce(metrics.success,false) AS ok,epoch_us(received_at)/1000.0-created_time AS most FROM once),

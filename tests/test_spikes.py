@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from strataline.operators import spikes
 from strataline.operators.spikes import implausible, pursuit, stuck
 
 DAY = 86_400_000
@@ -92,3 +93,48 @@ def test_one_hot_source(spark):
     base = noisy(5)
     rows = series(1, 6000, lambda i: base(i) * (6 if i == 4321 else 1), per_day=200) + series(2, 60, noisy(6))
     assert found(spark, rows) == {(104_321, "spike")}
+
+
+def lasting_level(source):
+    base = noisy(7, 0.05)
+    # The last three of 60 days run at six times the level: few readings, but a level and no spikes. One true spike besides.
+    return series(source, 60 * 20, lambda i: 60_000.0 if i == 300 else base(i) * (6 if i >= 57 * 20 else 1), per_day=20)
+
+
+def test_the_pursuit_keeps_a_short_level_that_the_gap_rule_would_take(spark):
+    rows = lasting_level(1)
+    assert found(spark, rows) == {(100_300, "spike")}
+    # By the gap alone all readings of the new level would be spikes.
+    values = np.array(sorted(r[3] for r in rows))
+    assert (values >= spikes._cut(values, values, np.ones(len(values)), len(values))).sum() == 61
+
+
+def test_without_a_sparse_part_there_are_no_spikes():
+    days = [{"period": d, "least": 900.0, "middle": [950.0, 975.0, 1000.0, 1025.0, 1050.0], "most": 9e4 if d == 7 else 1100.0, "n": 20} for d in range(30)]
+    import pandas as pd
+
+    batch = pd.DataFrame({"source": [1], "rows": [days]})
+    (named,) = spikes._named(iter([batch]))
+    assert named["period"].tolist() == [7] and 1400 < named["high_from"][0] < 1700
+    was = spikes.pursuit
+    try:
+        spikes.pursuit = lambda x, days=None: (x, np.zeros_like(x))
+        assert next(spikes._named(iter([batch]))).empty
+    finally:
+        spikes.pursuit = was
+
+
+def test_many_readings_a_day_with_spikes_on_every_day_and_sources_of_text(spark):
+    base = noisy(8)
+    rows = [(f"s{s}", i, at, v, ok, m) for s, i, at, v, ok, m in series(1, 3000, lambda i: base(i) * (9 if i % 150 == 70 else 1), per_day=300)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("source bigint", "source string"))
+    assert {(r.source, r.id) for r in implausible(df).collect()} == {("s1", 100_000 + i) for i in range(70, 3000, 150)}
+
+
+def test_splits_do_not_depend_on_the_stack():
+    rng = np.random.default_rng(4)
+    x = rng.normal(10, 0.1, (1, 20, 7))
+    x[0, 5, 6] += 3
+    padded = np.zeros((3, 50, 7))
+    padded[1, :20], padded[2] = x[0], rng.normal(10, 1, (50, 7))
+    assert np.allclose(pursuit(x)[1][0], pursuit(padded, np.array([50, 20, 50]))[1][1, :20], atol=1e-6)
