@@ -7,10 +7,10 @@ states of its children. Its alphabet and transitions are fixed by the schema:
 * object: ``-`` if null, else ``{`` + the states of its fields + ``}``;
 * array: ``-`` if null, ``[]`` if empty, else ``[`` + the sorted distinct states of its elements + ``]``.
 
-The automaton is compiled into Spark expressions, so classification is one JVM-side pass. Objects of
-the state ``-`` are no objects; any other state names the variant of its level, and each variant has a
-typed subtype table holding just the fields that its members have, beside the supertype's key and parent
-links.
+The automaton is compiled into Spark expressions, so classification is one JVM-side pass. Elements of
+the state ``-`` are no objects and are routed nowhere; any other state names the variant of its level. Every object is
+written to the subtype table of its variant, which has just the fields that its members have, beside the
+supertype's key and parent links; the supertype table is the union of them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataline.common import best_per_key
+from strataline.common import best_per_key, stage
 
 
 def _kind(t: T.DataType) -> str:
@@ -191,9 +191,10 @@ class NestedTables:
                     for part in path:
                         leaf = leaf[part]
                     leaves.append(leaf.alias(name))
-            shape = self.automaton.state(x, here.schema, arrays=False)
-            own += [*leaves, shape.alias("shape")] if wanted is None or "shape" in wanted else leaves
-            return F.when(x.isNotNull(), F.struct(*own))
+            if wanted is not None and "shape" not in wanted:
+                return F.when(x.isNotNull(), F.struct(*own, *leaves))
+            # Null elements get the state ``-``; the routing drops them.
+            return F.struct(*own, *leaves, self.automaton.state(x, here.schema, arrays=False).alias("shape"))
 
         found = F.filter(F.transform(array, row), lambda r: r.isNotNull())
         return F.flatten(found) if rest else found
@@ -238,17 +239,51 @@ class NestedTables:
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in self.levels}
 
+    def route(self, name: str, columns: list[str] | None = None) -> "Subtypes":
+        """Write every object of a level to the table of its variant, in one pass; ``columns`` prunes as in :meth:`table`."""
+        wanted = None if columns is None else [*columns, "shape"]
+        rows = self.table(name, wanted).withColumn("variant", F.md5("shape"))
+        return Subtypes(self, self.levels[name], stage(rows, partition_by=["variant"]))
+
     def variants(self, name: str) -> DataFrame:
         """The shapes of a level with the number of objects of each."""
         return self.table(name, columns=["shape"]).groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
 
+    def whole_variants(self) -> DataFrame:
+        """The shapes of whole records, arrays and all that is in them included, with the number of records of each."""
+        order = [o.alias(f"__o{i}") for i, o in enumerate(self._fullness())]
+        flat = self.df.select(self.key, self.automaton.state(F.struct(*[F.col(f"`{c}`") for c in self.df.columns])).alias("shape"), *order)
+        best = best_per_key(flat, [self.key], ["shape"], [F.col(f"__o{i}") for i in range(len(order))])
+        return best.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+
     def subtype(self, name: str, shape: str) -> DataFrame:
         """The typed table of one variant: key and parent links, and only the fields its members have."""
-        level = self.levels[name]
-        rows = self.table(name)
-        present = set(self.automaton.members(shape, T.StructType([f for f in level.schema.fields if level.parent or not is_object_array(f.dataType)])))
-        dropped = [n for n, p in level.columns.items() if p[0] not in present and n != self.key]
-        return rows.filter(F.col("shape") == shape).drop(*dropped, "shape")
+        return self.route(name).table(shape)
+
+
+@dataclass
+class Subtypes:
+    """The subtype tables of one level: a folder for each variant, which holds its objects and nothing else."""
+
+    tables: NestedTables
+    level: Level
+    rows: DataFrame
+
+    def shapes(self) -> list[str]:
+        """The variants that have objects; as many as the schema's fields are absent in different ways."""
+        return sorted(r["shape"] for r in self.rows.select("shape").distinct().collect())
+
+    def table(self, shape: str) -> DataFrame:
+        """The typed table of one variant: only its folder is read, and only the fields its members have."""
+        level = self.level
+        whole = T.StructType([f for f in level.schema.fields if level.parent or not is_object_array(f.dataType)])
+        present = set(self.tables.automaton.members(shape, whole))
+        absent = [n for n, p in level.columns.items() if p[0] not in present and n != self.tables.key]
+        return self.rows.filter((F.col("variant") == F.md5(F.lit(shape))) & (F.col("shape") == shape)).drop(*absent, "shape", "variant")
+
+    def union(self) -> DataFrame:
+        """The supertype table: all variants, fields that a variant has not being null. One scan of all folders."""
+        return self.rows.drop("shape", "variant")
 
 
 def job_run_tables(df: DataFrame) -> NestedTables:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +19,25 @@ PERCENTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every error object of every attempt of every task, each run once."""
-    tables = job_run_tables(table(spark, sf_dir, "job_runs_sample"))
-    return tables.table("error", columns=["code", "shape"]).select("run_id", "task_key", F.col("attempt_no").cast("int").alias("attempt_no"), "code")
+    errors = job_run_tables(table(spark, sf_dir, "job_runs_sample")).route("error", columns=["code"])
+    return errors.union().select("run_id", "task_key", F.col("attempt_no").cast("int").alias("attempt_no"), "code")
+
+
+def p1_error_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subtype tables of errors: their variant, their columns and how many errors each holds."""
+    errors = job_run_tables(table(spark, sf_dir, "job_runs_sample")).route("error")
+    each = [(shape, errors.table(shape)) for shape in errors.shapes()]
+    counts = [t.agg(F.lit(shape).alias("shape"), F.lit(",".join(t.columns)).alias("columns"), F.count(F.lit(1)).alias("n")) for shape, t in each]
+    return reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "shape string, columns string, n bigint")
 
 
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat run table, each run once."""
     tables = job_run_tables(table(spark, sf_dir, "job_runs_sample"))
-    return tables.table("run", columns=["job_id", "creator_user_name", "created_time", "team", "env", "num_workers", "duration_ms", "success", "bytes_written"])
+    runs = tables.table("run", columns=["job_id", "creator_user_name", "created_time", "team", "env", "num_workers", "duration_ms", "success", "bytes_written"])
+    # NaN equals nothing when results are compared, so the query tells it apart in a column of its own.
+    state = F.when(F.col("duration_ms").isNull(), "null").when(F.isnan("duration_ms"), "nan").otherwise("number")
+    return runs.withColumn("duration_state", state).withColumn("duration_ms", F.when(state == "number", F.col("duration_ms")))
 
 
 def p1_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +54,12 @@ def p1_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many objects of each structural variant every level holds."""
     tables = job_run_tables(table(spark, sf_dir, "job_runs_sample"))
     parts = [tables.variants(level).withColumn("level", F.lit(level)) for level in tables.levels]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("level", "shape", "n")
+    return reduce(DataFrame.unionByName, parts).select("level", "shape", "n")
+
+
+def p1_whole_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many runs have each structural variant, all nested arrays included."""
+    return job_run_tables(table(spark, sf_dir, "job_runs_sample")).whole_variants()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,4 +153,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "table_name", "row_id", "checkpoint_token")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p2_found, p2_unified, p3_by_job, p3_percentiles, p4_found, p4_profiles, p4_conformity, p5_found, p6_found, p6_people, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p1_whole_variants, p1_error_subtypes, p2_found, p2_unified, p3_by_job, p3_percentiles, p4_found, p4_profiles, p4_conformity, p5_found, p6_found, p6_people, p7_found)}

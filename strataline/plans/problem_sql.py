@@ -7,7 +7,7 @@ _PERCENTILES = "SELECT {g},fraction,round(max(CASE WHEN i=floor((n-1)*fraction)
 
 ORACLE = {
     "p1_found": f"WITH once AS ({_ONCE}), t AS (SELECT run_id,unnest(tasks) AS t FROM once), a AS (SELECT run_id,t.task_key AS task_key,unnest(t.attempts) AS a FROM t WHERE t IS NOT NULL), e AS (SELECT run_id,task_key,a.attempt_no AS attempt_no,unnest(a.errors) AS e FROM a WHERE a IS NOT NULL) SELECT run_id,task_key,attempt_no,e.code AS code FROM e WHERE e IS NOT NULL",
-    "p1_runs": f"WITH once AS ({_ONCE}) SELECT run_id,job_id,creator_user_name,created_time,settings.tags.team AS team,settings.tags.env AS env,cluster.num_workers AS num_workers,metrics.duration_ms AS duration_ms,metrics.success AS success,metrics.bytes_written AS bytes_written FROM once",
+    "p1_runs": f"WITH once AS ({_ONCE}) SELECT run_id,job_id,creator_user_name,created_time,settings.tags.team AS team,settings.tags.env AS env,cluster.num_workers AS num_workers,CASE WHEN NOT isnan(metrics.duration_ms) THEN metrics.duration_ms END AS duration_ms,CASE WHEN metrics.duration_ms IS NULL THEN 'null' WHEN isnan(metrics.duration_ms) THEN 'nan' ELSE 'number' END AS duration_state,metrics.success AS success,metrics.bytes_written AS bytes_written FROM once",
     "p1_tasks": f"WITH once AS ({_ONCE}), t AS (SELECT run_id,unnest(tasks) AS t,unnest(range(len(tasks))) AS p FROM once) SELECT run_id,CAST(p AS INTEGER) AS task_pos,t.task_key AS task_key FROM t WHERE t IS NOT NULL",
     "p1_attempts": f"WITH once AS ({_ONCE}), t AS (SELECT run_id,unnest(tasks) AS t,unnest(range(len(tasks))) AS p FROM once), a AS (SELECT run_id,p,t.task_key AS task_key,unnest(t.attempts) AS a,unnest(range(len(t.attempts))) AS q FROM t WHERE t IS NOT NULL) SELECT run_id,CAST(p AS INTEGER) AS task_pos,task_key,CAST(q AS INTEGER) AS attempt_pos,a.attempt_no AS attempt_no,a.duration_ms AS duration_ms,a.success AS success FROM a WHERE a IS NOT NULL",
     "p3_percentiles": _MEASURES.format(g="team,metric") + _PERCENTILES.format(g="team,metric"),
@@ -42,3 +42,33 @@ x AS (SELECT s,t,o,k,coalesce(a,b) AS id,1 AS w FROM o WHERE op IN ('insert','up
 l AS (SELECT x.*,row_number() OVER (PARTITION BY x.s,x.t,x.id ORDER BY x.o DESC,x.w DESC) AS r FROM x LEFT JOIN c ON x.s=c.s AND x.t=c.t WHERE x.id IS NOT NULL AND (c.cut IS NULL OR x.o>c.cut))
 SELECT s AS source,t AS table_name,id AS row_id,k AS checkpoint_token FROM l WHERE r=1 AND w=1
 """
+
+
+def _shape(at: str, kind, depth: int = 0) -> str:
+    """SQL of the shape of an expression; ``kind``: a letter, a list of (field, kind), or a set of one element kind (an array)."""
+    if isinstance(kind, str):
+        return f"CASE WHEN {at} IS NULL THEN '-' ELSE '{kind}' END"
+    if isinstance(kind, tuple):
+        inner = _shape(f"x{depth}", kind[0], depth + 1)
+        return f"CASE WHEN {at} IS NULL THEN '-' WHEN len({at})=0 THEN '[]' ELSE '['||array_to_string(list_sort(list_distinct(list_transform({at},lambda x{depth}: {inner}))),'|')||']' END"
+    fields = "||".join(f"({_shape(f'{at}.{name}' if at else name, k, depth)})" for name, k in kind)
+    return f"CASE WHEN {at} IS NULL THEN '-' ELSE '{{'||{fields}||'}}' END" if at else f"'{{'||{fields}||'}}'"
+
+
+_ERROR = [("code", "s"), ("message", "s")]
+_ATTEMPT = [("attempt_no", "n"), ("duration_ms", "n"), ("success", "b")]
+_TASK = [("task_key", "s"), ("depends_on", ("s",))]
+_RUN = [
+    ("run_id", "n"), ("job_id", "n"), ("creator_user_name", "s"), ("created_time", "n"), ("settings", [("name", "s"), ("max_concurrent_runs", "n"), ("tags", [("team", "s"), ("env", "s"), ("domain", "s")])]),
+    ("cluster", [("spark_version", "s"), ("node_type_id", "s"), ("num_workers", "n")]), ("metrics", [("duration_ms", "n"), ("success", "b"), ("bytes_written", "n")]),
+]
+_WHOLE = [*_RUN, ("tasks", ([*_TASK, ("attempts", ([*_ATTEMPT, ("errors", (_ERROR,))],))],)), ("received_at", "o")]
+_LEVELS = f"WITH once AS ({_ONCE}), t AS (SELECT unnest(tasks) AS t FROM once), a AS (SELECT unnest(t.attempts) AS a FROM t WHERE t IS NOT NULL), e AS (SELECT unnest(a.errors) AS e FROM a WHERE a IS NOT NULL) "
+ORACLE["p1_whole_variants"] = f"WITH once AS ({_ONCE}) SELECT {_shape('', _WHOLE)} AS shape,count(*) AS n FROM once GROUP BY 1"
+ORACLE["p1_variants"] = _LEVELS + " UNION ALL ".join(
+    f"SELECT '{level}' AS level,{_shape(at, kind)} AS shape,count(*) AS n FROM {source} GROUP BY 2"
+    for level, source, at, kind in (
+        ("run", "once", "", [*_RUN, ("received_at", "o")]), ("task", "t WHERE t IS NOT NULL", "t", _TASK), ("attempt", "a WHERE a IS NOT NULL", "a", _ATTEMPT), ("error", "e WHERE e IS NOT NULL", "e", _ERROR),
+    )
+)
+ORACLE["p1_error_subtypes"] = _LEVELS + f"SELECT {_shape('e', _ERROR)} AS shape,concat_ws(',','run_id,task_pos,task_key,attempt_pos,attempt_no,error_pos',CASE WHEN e.code IS NOT NULL THEN 'code' END,CASE WHEN e.message IS NOT NULL THEN 'message' END) AS columns,count(*) AS n FROM e WHERE e IS NOT NULL GROUP BY ALL"

@@ -64,3 +64,24 @@ def test_states_of_arrays(spark):
     df = spark.sql("select array(1, null, 2) as a, array() as b, cast(null as array<int>) as c")
     auto = TreeAutomaton(df.schema)
     assert list(df.select(*[auto.state(df[c], df.schema[c].dataType) for c in "abc"]).first()) == ["[-|n]", "[]", "-"]
+
+
+def test_errors_come_from_the_tables_of_their_variants(spark, monkeypatch):
+    df = runs(spark, [(1, 7, None, None, [task("t", (1, 2.0, [("E1", None), None, (None, None), ("E2", "m"), (None, "m")]))], EARLY)])
+    errors = job_run_tables(df).route("error")
+    assert errors.shapes() == ["{--}", "{-s}", "{s-}", "{ss}"]
+    tables = {shape: errors.table(shape) for shape in errors.shapes()}
+    assert {s: t.columns[6:] for s, t in tables.items()} == {"{--}": [], "{-s}": ["message"], "{s-}": ["code"], "{ss}": ["code", "message"]}
+    assert [t.count() for t in tables.values()] == [1, 1, 1, 1]
+    assert sorted((r.error_pos, r.code) for r in errors.union().collect()) == [(0, "E1"), (2, None), (3, "E2"), (4, None)]
+    # The state decides: if it calls everything null nothing is routed, if it calls nothing null the null element is.
+    from pyspark.sql import functions as F
+
+    for state, n in (("-", 0), ("{ss}", 5)):
+        monkeypatch.setattr(TreeAutomaton, "state", lambda self, node, t=None, arrays=True, state=state: F.lit(state))
+        assert job_run_tables(df).route("error", columns=["code"]).union().count() == n
+
+
+def test_whole_variants_enter_arrays(spark):
+    df = runs(spark, [(k, 7, None, None, [task("t", (1, 2.0, [("E1", None)] * k))], EARLY) for k in (1, 2)] + [(3, 7, None, None, [], EARLY)])
+    assert sorted((r.shape, r.n) for r in job_run_tables(df).whole_variants().collect()) == [("{nn--[]o}", 1), ("{nn--[{s-[{nn[{s-}]}]}]o}", 2)]
