@@ -84,15 +84,26 @@ def best_per_key(df: DataFrame, keys: list[str], payload: list[str], order: list
     return picked.select(*keys, "__best.*")
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], salt_by: list[str], salts: int = 16) -> DataFrame:
-    """Left join of ``rows`` with a much smaller ``lookup`` (unique in ``keys``), safe for hot keys.
+#: Most bytes of a staged table, as written, that is broadcast.
+BROADCAST_BYTES = 8 << 20
 
-    Rows of one key are spread over ``salts`` groups by the hash of ``salt_by``; the lookup is repeated
-    once per salt. AQE still turns the join into a broadcast if the lookup is measured to be small.
+
+def is_small(staged: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a staged (or other file) table is known to be small: the size of its files, not a guess at its rows."""
+    return int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
+def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], salt_by: list[str], salts: int = 16, how: str = "left") -> DataFrame:
+    """Join of ``rows`` with a much smaller ``lookup`` (unique in ``keys``), safe for hot keys; ``how``: left or inner.
+
+    A lookup whose files are small is broadcast. Otherwise rows of one key are spread over ``salts`` groups by the hash of
+    ``salt_by`` and the lookup is repeated once per salt.
     """
+    if is_small(lookup):
+        return rows.join(F.broadcast(lookup), keys, how)
     spread = rows.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return spread.join(copies, [*keys, "__salt"], "left").drop("__salt")
+    return spread.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Schemas that drift between files (problem 2).
 
-Each file of a feed is profiled field by field: the JSON kinds of its values and a value sketch (tokens of
-texts, logarithmic bins of numbers, shares of booleans, keys of objects). Presence and kinds are compared
-by joins; removed and added fields of one file are matched by a bipartite assignment on sketches, kinds and names,
-and pairs that are close enough are renames. All lines and all their tokens count; in every task they are reduced to
-counts per (feed, file, field) before anything is shuffled. Tokens of removed and added fields are compared by a join, so a
-field of any number of tokens is compared whole and no task holds it.
+Files are profiled in two passes. The first counts the JSON kinds of every field of every file; presence and kinds are compared by
+joins. The second looks at removed and added fields only, in the files that have them, and sketches their values (tokens of
+texts, logarithmic bins of numbers, shares of booleans, keys of objects). Removed and added fields of one file are matched by a
+bipartite assignment on sketches, kinds and names, and pairs that are close enough are renames. All lines and all tokens of
+these fields count; in every task they are reduced to counts per (feed, file, field) before anything is shuffled. Tokens
+are compared by a join, so a field of any number of tokens is compared whole and no task holds it.
 """
 
 from __future__ import annotations
@@ -33,13 +33,28 @@ _WORD = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 
 
-def walk(record: dict, at: str = "") -> Iterator[tuple[str, object]]:
-    """(dotted path, value) of every key of an object and the objects in it; arrays are not entered."""
-    for key, value in record.items():
-        path = f"{at}{key}"
-        yield path, value
-        if isinstance(value, dict):
-            yield from walk(value, f"{path}.")
+def walk(record: dict) -> Iterator[tuple[str, object]]:
+    """(dotted path, value) of every key of an object and the objects in it, however deep; arrays are not entered."""
+    open_objects: list[tuple[str, Iterator]] = [("", iter(record.items()))]
+    while open_objects:
+        at, keys = open_objects[-1]
+        for key, value in keys:
+            path = at + key
+            yield path, value
+            if isinstance(value, dict):
+                open_objects.append((f"{path}.", iter(value.items())))
+                break
+        else:
+            open_objects.pop()
+
+
+def read_object(payload: str | None, **options) -> dict | None:
+    """The object of a line; None if the line holds none."""
+    try:
+        record = json.loads(payload, **options)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
 
 
 def features(value: object) -> list[str]:
@@ -64,49 +79,74 @@ def features(value: object) -> list[str]:
     return []
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict = defaultdict(Counter)
+class _Counts:
+    """Counts per (feed, file, field, feature) that a task holds, handed on whenever they are many."""
+
+    def __init__(self) -> None:
+        self.held: dict = defaultdict(Counter)
+        self.size = 0
+
+    def add(self, feed: str, file_no: int, path: str, found: list[str]) -> None:
+        seen = self.held[feed, file_no, path]
+        self.size -= len(seen)
+        seen.update(found)
+        self.size += len(seen)
 
-    def drain() -> pd.DataFrame:
-        rows = []
-        for (feed, file_no, path), seen in held.items():
-            rows += [(feed, file_no, path, f, n) for f, n in seen.items()]
-        held.clear()
-        return pd.DataFrame(rows, columns=["feed", "file_no", "path", "feature", "n"])
+    def drain(self, least: int) -> Iterator[pd.DataFrame]:
+        if self.held and self.size >= least:
+            rows = [(*unit, f, n) for unit, seen in self.held.items() for f, n in seen.items()]
+            self.held.clear()
+            self.size = 0
+            yield pd.DataFrame(rows, columns=["feed", "file_no", "path", "feature", "n"])
 
-    size = 0
+
+def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = _Counts()
     for pdf in batches:
         for feed, file_no, payload in zip(pdf["feed"], pdf["file_no"], pdf["payload"], strict=True):
-            if size > HELD_COUNTS:
-                yield drain()
-                size = 0
-            try:
-                record = json.loads(payload)
-            except (TypeError, ValueError, RecursionError):
-                record = None
-            if not isinstance(record, dict):
-                held[feed, file_no, ""]["unreadable"] += 1
-                continue
-            held[feed, file_no, ""]["objects"] += 1
-            for path, value in walk(record):
-                seen = held[feed, file_no, path]
-                size -= len(seen)
-                seen[f"k:{_KINDS.get(type(value), 'null')}"] += 1
-                seen.update(features(value))
-                size += len(seen)
-    if held:
-        yield drain()
+            record = read_object(payload)
+            counts.add(feed, file_no, "", ["unreadable" if record is None else "objects"])
+            for path, value in walk(record or {}):
+                counts.add(feed, file_no, path, [f"k:{_KINDS.get(type(value), 'null')}"])
+            yield from counts.drain(HELD_COUNTS)
+    yield from counts.drain(0)
+
+
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sketches of the fields that each row names in ``paths``."""
+    counts = _Counts()
+    for pdf in batches:
+        for feed, file_no, payload, paths in zip(pdf["feed"], pdf["file_no"], pdf["payload"], pdf["paths"], strict=True):
+            wanted = set(paths)
+            for path, value in walk(read_object(payload) or {}):
+                if path in wanted:
+                    counts.add(feed, file_no, path, features(value))
+            yield from counts.drain(HELD_COUNTS)
+    yield from counts.drain(0)
+
+
+ENTRIES = "feed string, file_no int, path string, feature string, n bigint"
+
+
+def _lines(lines: DataFrame) -> DataFrame:
+    return lines.select("feed", F.col("file_no").cast("int").alias("file_no"), "payload").filter("feed is not null and file_no is not null")
 
 
 def profile(lines: DataFrame) -> DataFrame:
-    """Sketch entries (feed, file_no, path, feature, n) of files of JSON lines (feed, file_no, payload).
+    """Kinds (feed, file_no, path, feature, n) of the fields of files of JSON lines (feed, file_no, payload): feature is ``k:`` and
+    a JSON kind or null.
 
     Lines that hold no object are counted under path '' as ``unreadable``. Files delivered twice under one
     number are one file. Rows without a feed or file number are left out.
     """
-    rows = lines.select("feed", F.col("file_no").cast("int").alias("file_no"), "payload").filter("feed is not null and file_no is not null")
-    parts = rows.mapInPandas(_sketch, "feed string, file_no int, path string, feature string, n bigint")
-    return parts.groupBy("feed", "file_no", "path", "feature").agg(F.sum("n").alias("n"))
+    return _lines(lines).mapInPandas(_kinds, ENTRIES).groupBy("feed", "file_no", "path", "feature").agg(F.sum("n").alias("n"))
+
+
+def sketch(lines: DataFrame, fields: DataFrame) -> DataFrame:
+    """Value sketches (feed, file_no, path, feature, n) of some fields (feed, file_no, path). Only files with such fields are parsed."""
+    wanted = stage(fields.groupBy("feed", "file_no").agg(F.sort_array(F.collect_set("path")).alias("paths")))
+    rows = salted_lookup(_lines(lines), wanted, ["feed", "file_no"], ["payload"], how="inner")
+    return rows.mapInPandas(_sketch, ENTRIES).groupBy("feed", "file_no", "path", "feature").agg(F.sum("n").alias("n"))
 
 
 def name_parts(path: str) -> list[str]:
@@ -300,18 +340,18 @@ def _outside(rows: DataFrame, covers: DataFrame) -> DataFrame:
     return rows.join(hit, ["feed", "file_no", "field_path"], "left_anti")
 
 
-def changes(sketches: DataFrame) -> DataFrame:
-    """Every change of a file against the file before it in its feed.
+def changes(lines: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Every change of a file against the file before it in its feed; ``kinds``: the staged :func:`profile` of the lines.
 
     ``change_kind`` is added, removed, renamed or type_changed; ``new_path`` is '' unless renamed; ``score`` is the
     likeness of a renamed pair. Kinds are compared with those of the last earlier file in which the
     field had a value that is not null. What lies inside a reported field is not reported again. A file
     without a predecessor gives no rows, nor does empty input.
     """
-    fields = sketches.filter("path <> ''").groupBy("feed", "file_no", "path").agg(
+    fields = kinds.filter("path <> ''").groupBy("feed", "file_no", "path").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("feature").startswith("k:") & (F.col("feature") != "k:null"), F.col("feature")))), "|").alias("kinds")
     )
-    files = sketches.select("feed", "file_no").distinct()
+    files = kinds.select("feed", "file_no").distinct()
     fields = stage(fields)
     follows = files.select("feed", (F.col("file_no") - 1).alias("file_no")).join(files, ["feed", "file_no"]).select("feed", (F.col("file_no") + 1).alias("file_no"))
     before = fields.select("feed", (F.col("file_no") + 1).alias("file_no"), "path", F.lit(1).alias("old")).join(follows, ["feed", "file_no"])
@@ -328,77 +368,172 @@ def changes(sketches: DataFrame) -> DataFrame:
     )
     typed = stage(typed)
     # Fields under a field whose kinds changed belong to that report.
-    moved = _outside(moved, typed.select("feed", "file_no", F.col("field_path").alias("path")))
-    sketch = sketches.select("feed", "file_no", F.col("path").alias("field_path"), "feature", "n")
-    old = moved.filter("change_kind = 'removed'").select("feed", (F.col("file_no") - 1).alias("at"), "file_no", "change_kind", "field_path")
-    new = moved.filter("change_kind = 'added'").select("feed", F.col("file_no").alias("at"), "file_no", "change_kind", "field_path")
-    detail = old.unionByName(new).join(sketch.withColumnRenamed("file_no", "at"), ["feed", "at", "field_path"]).drop("at")
-    matched = stage(_with_shared_tokens(stage(detail)).groupBy("feed", "file_no").applyInPandas(_match, CHANGES))
+    moved = stage(_outside(moved, typed.select("feed", "file_no", F.col("field_path").alias("path"))))
+    sides = moved.select(
+        "feed", F.when(F.col("change_kind") == "removed", F.col("file_no") - 1).otherwise(F.col("file_no")).alias("at"), "file_no", "change_kind", "field_path"
+    )
+    wanted = sides.select("feed", F.col("at").alias("file_no"), F.col("field_path").alias("path"))
+    # An entry without a feature keeps fields that hold nothing but nulls.
+    entries = sketch(lines, wanted).unionByName(wanted.distinct().select("*", F.lit("k:").alias("feature"), F.lit(1).cast("bigint").alias("n")))
+    detail = sides.join(entries.select("feed", F.col("file_no").alias("at"), F.col("path").alias("field_path"), "feature", "n"), ["feed", "at", "field_path"]).drop("at")
+    # Matching one file is little work; by a number of partitions of its own it is spread however small the table is.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = _with_shared_tokens(stage(detail)).repartition(parts, "feed", "file_no")
+    matched = stage(spread.groupBy("feed", "file_no").applyInPandas(_match, CHANGES))
     reported = matched.filter("change_kind <> 'type_changed'").select("feed", "file_no", F.explode(F.array("field_path", F.nullif("new_path", F.lit("")))).alias("path")).filter("path is not null")
     covers = reported.unionByName(typed.select("feed", "file_no", F.col("field_path").alias("path")))
     kept = _outside(typed, covers).select("feed", "file_no", "change_kind", "field_path", F.lit("").alias("new_path"), F.lit(None).cast("double").alias("score"))
     return matched.unionByName(kept)
 
 
-def _canonical(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First names of the fields of each file of one feed, following renames through the files in order."""
+def _origins(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Columns of the renamed fields of each file of one feed, following its changes through the files in order.
+
+    A renamed field keeps the column of its first name. A field added under that name while the renamed one is still there is
+    another field: its column is the name with the file's number.
+    """
     feed = pdf["feed"].iloc[0]
-    first: dict[str, str] = {}
+    column: dict[str, str] = {}
+    owner: dict[str, str] = {}
     rows = []
     for file_no, part in sorted(pdf.groupby("file_no"), key=lambda x: x[0]):
-        renames = part[part["change_kind"] == "renamed"]
-        for old, new in sorted(zip(renames["field_path"], renames["new_path"], strict=True)):
-            origin = first.get(old, old)
-            inner = {k: v for k, v in first.items() if k.startswith(f"{old}.")}
-            for k, v in inner.items():
-                first[new + k[len(old) :]] = v
-            first[new] = origin
-        rows.append((feed, int(file_no), json.dumps(first)))
+        of = {kind: sorted(zip(p["field_path"], p["new_path"], strict=True)) for kind, p in part.groupby("change_kind")}
+        moved = []
+        for old, new in of.get("renamed", []):
+            under = {k for k in column if k == old or k.startswith(f"{old}.")} | {old}
+            moved += [(new + k[len(old) :], resolve(k, column)) for k in under]
+            for k in under:
+                owner.pop(column.pop(k, ""), None)
+        for path, origin in moved:
+            column[path] = origin
+            owner[origin] = path
+        for path, _ in of.get("removed", []):
+            for k in [k for k in column if k == path or k.startswith(f"{path}.")]:
+                if owner.get(column[k]) == k:
+                    del owner[column[k]]
+        for path, _ in of.get("added", []):
+            if owner.get(resolve(path, column), path) != path:
+                column[path] = f"{path}@{file_no}"
+            if path in column:
+                owner[column[path]] = path
+        rows.append((feed, int(file_no), json.dumps(column)))
     return pd.DataFrame(rows, columns=["feed", "file_no", "names"])
 
 
-def unify(lines: DataFrame, sketches: DataFrame, found: DataFrame) -> DataFrame:
+def resolve(path: str, column: dict[str, str]) -> str:
+    """The column of a field: its own entry, or that of the nearest object around it, or its path."""
+    head = path
+    while head:
+        if head in column:
+            return column[head] + path[len(head) :]
+        head = head.rpartition(".")[0]
+    return path
+
+
+class _Real(float):
+    """A number with a point or exponent, as written."""
+
+    text: str
+
+    @classmethod
+    def read(cls, text: str) -> "_Real":
+        out = cls(text)
+        out.text = text
+        return out
+
+
+def to_text(value: object) -> str:
+    """JSON of a value, however deep."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        out: list[str] = []
+        todo: list = [value]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):
+                out.append(x[0])
+            elif isinstance(x, dict):
+                inner = [y for k, v in x.items() for y in ((", ",), (f"{json.dumps(k, ensure_ascii=False)}: ",), v)][1:]
+                todo += [("}",), *reversed(inner), ("{",)]
+            elif isinstance(x, list):
+                todo += [("]",), *reversed([y for v in x for y in ((", ",), v)][1:]), ("[",)]
+            else:
+                out.append(json.dumps(x, ensure_ascii=False))
+        return "".join(out)
+
+
+def _cell(value: object) -> str:
+    """A cell as text, its first letter telling its kind: integers (those that doubles hold exactly, other 64-bit ones, larger
+    ones), other numbers, booleans, texts, arrays and empty objects."""
+    if isinstance(value, bool):
+        return f"b{str(value).lower()}"
+    if isinstance(value, int):
+        return f"{'i' if abs(value) <= 1 << 53 else 'l' if -(1 << 63) <= value < 1 << 63 else 'h'}{value}"
+    if isinstance(value, _Real):
+        return f"{'d' if math.isfinite(value) else 'h'}{value.text}"
+    return f"s{value}" if isinstance(value, str) else f"j{to_text(value)}"
+
+
+def column_type(kinds: set[str]) -> str:
+    """The one type of a column that loses nothing of its cells."""
+    if kinds <= {"i", "l"}:
+        return "bigint"
+    if kinds <= {"i", "d"}:
+        return "double"
+    return "boolean" if kinds == {"b"} else "string"
+
+
+def column_names(paths: list[str], taken: list[str]) -> dict[str, str]:
+    """Column names of paths: dots become ``__``; names that are taken, letter case aside, get a number."""
+    used, names = {t.lower() for t in taken}, {}
+    for path in sorted(paths):
+        base = name = path.replace(".", "__")
+        k = 2
+        while name.lower() in used:
+            name, k = f"{base}__{k}", k + 1
+        used.add(name.lower())
+        names[path] = name
+    return names
+
+
+def unify(lines: DataFrame, kinds: DataFrame, found: DataFrame) -> DataFrame:
     """One table with the same columns for all files: feed, file_no, line_no and a column for each field under its first
-    name (dots become ``__``). A field has one type everywhere: number, boolean or, where kinds mix, text
-    (objects and arrays as JSON). Absent and null cells are null. Lines that hold no object give no row;
-    lines delivered again under the same feed, file and line number with the same payload give one."""
+    name (dots become ``__``; names that clash get a number). ``kinds`` and ``found``: staged :func:`profile` and :func:`changes`.
+
+    A column has the type that loses nothing of any file's values: bigint if all are integers of 64 bits, double if all are
+    numbers that doubles hold, boolean, else text: numbers as written, texts as they are (so "007" stays), objects and arrays as
+    JSON. Absent and null cells are null. Lines that hold no object give no row; lines delivered
+    again under the same feed, file and line number with the same payload give one.
+    """
     marks = found.select("feed", "file_no", "change_kind", "field_path", "new_path").unionByName(
-        sketches.select("feed", "file_no").distinct().select("feed", "file_no", F.lit("file").alias("change_kind"), F.lit("").alias("field_path"), F.lit("").alias("new_path"))
+        kinds.select("feed", "file_no").distinct().select("feed", "file_no", F.lit("file").alias("change_kind"), F.lit("").alias("field_path"), F.lit("").alias("new_path"))
     )
-    names = stage(marks.groupBy("feed").applyInPandas(_canonical, "feed string, file_no int, names string"))
+    names = stage(marks.groupBy("feed").applyInPandas(_origins, "feed string, file_no int, names string"))
     flat = salted_lookup(lines.select("feed", "file_no", "line_no", "payload").dropDuplicates(), names, ["feed", "file_no"], ["line_no"])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            known: dict[str, dict] = {}
+            known: dict[str, tuple[dict, dict]] = {}
             for feed, file_no, line_no, payload, text in zip(pdf["feed"], pdf["file_no"], pdf["line_no"], pdf["payload"], pdf["names"], strict=True):
-                try:
-                    record = json.loads(payload)
-                except (TypeError, ValueError, RecursionError):
-                    continue
-                if not isinstance(record, dict):
+                record = read_object(payload, parse_float=_Real.read)
+                if record is None:
                     continue
-                first = known.setdefault(text, json.loads(text) if text else {})
+                column, seen = known.setdefault(text, (json.loads(text) if text else {}, {}))
                 cells = {}
                 for path, value in walk(record):
                     if value is None or isinstance(value, dict) and value:
                         continue
-                    name = first.get(path)
-                    if name is None:
-                        head = path
-                        while "." in head and name is None:
-                            head = head.rpartition(".")[0]
-                            if head in first:
-                                name = first[head] + path[len(head) :]
-                    cells[(name or path).replace(".", "__")] = value if isinstance(value, str) else json.dumps(value)
+                    if path not in seen:
+                        seen[path] = resolve(path, column)
+                    cells[seen[path]] = _cell(value)
                 out.append((feed, file_no, line_no, cells))
             yield pd.DataFrame(out, columns=["feed", "file_no", "line_no", "cells"])
 
     cells = stage(flat.mapInPandas(rows, "feed string, file_no int, line_no int, cells map<string,string>"))
-    each = cells.select(F.explode("cells").alias("name", "value"))
-    number = F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+    each = cells.select(F.explode("cells").alias("path", "value"))
     # The columns of the result: as many rows as the schema has fields.
-    columns = each.groupBy("name").agg(F.min(number).alias("number"), F.min(F.col("value").isin("true", "false")).alias("boolean")).orderBy("name").collect()
-    kind = lambda c: "double" if c["number"] else "boolean" if c["boolean"] else "string"
-    return cells.select("feed", "file_no", "line_no", *[F.col("cells")[c["name"]].cast(kind(c)).alias(c["name"]) for c in columns])
+    columns = {r["path"]: column_type(set(r["kinds"])) for r in each.groupBy("path").agg(F.collect_set(F.substring("value", 1, 1)).alias("kinds")).collect()}
+    names_of = column_names(list(columns), ["feed", "file_no", "line_no"])
+    return cells.select("feed", "file_no", "line_no", *[F.substring(F.col("cells")[p], 2, 1 << 30).cast(columns[p]).alias(n) for p, n in names_of.items()])

@@ -127,12 +127,12 @@ def _ordinary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def in_periods(readings: DataFrame) -> DataFrame:
     """Possible successful readings of sources of MIN_RUNS readings or more, with their ``period``: a day from the source's first
     one on, or, for sources of more than PER_ROW readings a day, an equal part of one."""
-    sources = (
+    sources = stage(
         readings.groupBy("source", F.floor(F.col("at") / F.lit(DAY)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
         .groupBy("source").agg(F.sum("n").alias("runs"), F.min("day").cast("bigint").alias("first"), F.ceil(F.sum("n") / F.count(F.lit(1)) / F.lit(PER_ROW)).cast("bigint").alias("parts"))
         .filter(F.col("runs") >= MIN_RUNS).select("source", "first", "parts")
     )
-    good = salted_lookup(readings.filter("ok and possible and value > 0 and source is not null"), sources, ["source"], ["id"]).filter("parts is not null")
+    good = salted_lookup(readings.filter("ok and possible and value > 0 and source is not null"), sources, ["source"], ["id"], how="inner")
     return good.select("source", "id", "value", F.floor((F.col("at") - F.col("first") * DAY) * F.col("parts") / F.lit(DAY)).cast("bigint").alias("period"))
 
 
@@ -158,7 +158,7 @@ def spikes(readings: DataFrame) -> DataFrame:
         named.join(cuts, "source").select("source", "period", F.greatest("high_from", "high_cut").alias("high_from"), F.least("low_to", "low_cut").alias("low_to"))
         .filter("high_from < double('inf') or low_to > 0")
     )
-    return salted_lookup(good, ranges, ["source", "period"], ["id"]).filter("value >= high_from or value <= low_to").select("source", "id")
+    return salted_lookup(good, ranges, ["source", "period"], ["id"], how="inner").filter("value >= high_from or value <= low_to").select("source", "id")
 
 
 def stuck(readings: DataFrame) -> DataFrame:

@@ -64,15 +64,15 @@ def p1_whole_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change of a file against the file before it in its feed."""
-    sketches = stage(drift.profile(table(spark, sf_dir, "job_run_files")))
-    return drift.changes(sketches).select("feed", "file_no", "change_kind", "field_path", "new_path")
+    lines = table(spark, sf_dir, "job_run_files")
+    return drift.changes(lines, stage(drift.profile(lines))).select("feed", "file_no", "change_kind", "field_path", "new_path")
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files as one table, fields under their first names."""
     lines = table(spark, sf_dir, "job_run_files")
-    sketches = stage(drift.profile(lines))
-    return drift.unify(lines, sketches, drift.changes(sketches))
+    kinds = stage(drift.profile(lines))
+    return drift.unify(lines, kinds, stage(drift.changes(lines, kinds)))
 
 
 def _run_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyarrow import csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.common import salted_lookup
+from strataline.common import salted_lookup, stage
 
 # Spellings of booleans, in any letter case.
 TRUE_WORDS = ["true", "t", "1", "yes", "y"]
@@ -154,7 +154,7 @@ def parse_rows(raw: DataFrame) -> DataFrame:
     three are left out. Lines of any length are parsed whole. Rows of a hot file are spread by line.
     """
     lines = raw.select(F.col("file_no").cast("int").alias("file_no"), F.col("line_no").cast("int").alias("line_no"), "raw_line")
-    headers = lines.filter("line_no = 1").groupBy("file_no").agg(F.min("raw_line").alias("header"))
+    headers = stage(lines.filter("line_no = 1").groupBy("file_no").agg(F.min("raw_line").alias("header")))
     records = salted_lookup(lines.filter("line_no is null or line_no <> 1"), headers, ["file_no"], ["line_no"])
     return records.mapInArrow(_parse, "file_no int, line_no int, id bigint, name string, score double, active boolean, reason string, cell string, raw_line string")
 

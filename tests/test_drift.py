@@ -7,7 +7,8 @@ import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strataline.operators.drift import _sketch, assign, changes, name_similarity, profile, unify
+from strataline.common import stage
+from strataline.operators.drift import _kinds, assign, changes, column_names, name_similarity, profile, sketch, to_text, unify, walk
 
 
 def lines(spark, files, feed="f"):
@@ -16,7 +17,14 @@ def lines(spark, files, feed="f"):
 
 
 def found(spark, files):
-    return sorted(tuple(r)[1:5] for r in changes(profile(lines(spark, files))).collect())
+    raw = lines(spark, files)
+    return sorted(tuple(r)[1:5] for r in changes(raw, profile(raw)).collect())
+
+
+def unified(spark, files):
+    raw = lines(spark, files)
+    kinds = stage(profile(raw))
+    return unify(raw, kinds, stage(changes(raw, kinds)))
 
 
 ENV = [{"tags": {"env": e}, "n": i} for i, e in enumerate(["prod", "dev", "qa", "prod", "dev"] * 4)]
@@ -48,16 +56,14 @@ def test_unlike_fields_are_no_rename(spark):
 def test_gaps_bad_lines_and_empty(spark):
     assert found(spark, {1: [{"x": 1}], 3: [{"y": 1}]}) == []
     assert found(spark, {1: [{"x": 1}, "{", "[1]", None], 2: [{"x": 2}]}) == []
-    assert changes(profile(lines(spark, {}))).count() == 0
+    assert found(spark, {}) == []
 
 
 def test_one_table_for_all_files(spark):
     b = [{"env": r["tags"]["env"], "n": str(r["n"])} for r in ENV]
-    raw = lines(spark, {1: ENV, 2: b})
-    sketches = profile(raw)
-    out = unify(raw, sketches, changes(sketches))
+    out = unified(spark, {1: ENV, 2: b})
     assert out.columns == ["feed", "file_no", "line_no", "n", "tags__env"]
-    assert out.filter("tags__env is not null").count() == 40 and dict(out.dtypes)["n"] == "double"
+    assert out.filter("tags__env is not null").count() == 40 and dict(out.dtypes)["n"] == "string"
 
 
 @settings(max_examples=60, deadline=None)
@@ -83,12 +89,45 @@ def test_renamed_texts_of_a_hot_file_are_compared_whole(spark):
 
 def test_sketches_do_not_depend_on_splits(spark):
     rows = lines(spark, {1: [{"note": f"w{i % 700} v{i % 11}"} for i in range(2000)]})
-    one, many = ({tuple(r) for r in profile(rows.repartition(k, "line_no")).collect()} for k in (1, 5))
+    wanted = spark.createDataFrame([("f", 1, "note")], "feed string, file_no int, path string")
+    one, many = ({tuple(r) for r in sketch(rows.repartition(k, "line_no"), wanted).collect()} for k in (1, 5))
     assert one == many and sum(r[4] for r in one if r[3].startswith("t:")) == 4000
 
 
 def test_counts_are_handed_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr("strataline.operators.drift.HELD_COUNTS", 10)
-    rows = pd.DataFrame([("f", 1, json.dumps({"note": f"w{i % 30}"})) for i in range(300)], columns=["feed", "file_no", "payload"])
-    parts = list(_sketch(iter([rows])))
-    assert len(parts) > 5 and pd.concat(parts).query("path == 'note' and feature == 'k:string'").n.sum() == 300
+    rows = pd.DataFrame([("f", 1, json.dumps({f"note{i % 30}": "x"})) for i in range(300)], columns=["feed", "file_no", "payload"])
+    parts = list(_kinds(iter([rows])))
+    assert len(parts) > 5 and pd.concat(parts).query("path == 'note7' and feature == 'k:string'").n.sum() == 10
+
+
+def test_no_value_is_lost_in_the_one_table(spark):
+    big = 9007199254740993
+    files = {1: [{"id": big, "zip": "007", "x": 1, "y": 1.50, "z": True, "w": 10**30}, {"id": 1, "zip": "12", "x": 2.5, "y": 2.0, "z": None, "w": 2}]}
+    out = unified(spark, files)
+    assert dict(out.dtypes) == {"feed": "string", "file_no": "int", "line_no": "int", "id": "bigint", "w": "string", "x": "double", "y": "double", "z": "boolean", "zip": "string"}
+    assert tuple(out.orderBy("line_no").first())[3:] == (big, str(10**30), 1.0, 1.5, True, "007")
+    mixed = unified(spark, {1: [{"a": big}, {"a": 0.50}, {"a": [1, {"b": None}]}, {"a": "t"}, {"a": False}]})
+    assert [r.a for r in mixed.orderBy("line_no").collect()] == [str(big), "0.5", '[1, {"b": null}]', "t", "false"]
+
+
+def test_a_name_used_again_is_another_field(spark):
+    a = [{"team": t} for t in ("red", "blue", "green")] * 4
+    b = [{"squad": r["team"]} for r in a]
+    c = [{"squad": r["team"], "team": i} for i, r in enumerate(a)]
+    out = unified(spark, {1: a, 2: b, 3: c, 4: c})
+    assert out.columns[3:] == ["team", "team@3"] and dict(out.dtypes)["team@3"] == "bigint"
+    assert out.filter("team in ('red', 'blue', 'green')").count() == 48 and out.filter("`team@3` is not null").count() == 24
+
+
+def test_clashing_names(spark):
+    assert column_names(["a.b", "a__b", "A__b", "feed"], ["feed"]) == {"A__b": "A__b", "a.b": "a__b__2", "a__b": "a__b__3", "feed": "feed__2"}
+    out = unified(spark, {1: [{"a__b": 1, "a": {"b": 2}, "feed": "x"}]})
+    assert sorted(out.first().asDict().values(), key=str) == [1, 1, 1, 2, "f", "x"]
+
+
+def test_very_deep_objects(spark):
+    deep = '{"k":' * 1500 + "1" + "}" * 1500
+    assert sum(1 for _ in walk(json.loads(deep))) == 1500
+    assert found(spark, {1: [{"x": 1}], 2: ['{"x": 1, "d": %s}' % deep]}) == [(2, "added", "d", "")]
+    assert to_text([{"a": [1, "é"]}]) == '[{"a": [1, "é"]}]'
