@@ -1,6 +1,8 @@
 import random
 
-from strataline.operators.load_profile import basics, conformity, departures, expressions, profile, reported_wrong, value_counts
+import regex
+
+from strataline.operators.load_profile import basics, conformity, departures, expressions, induce, profile, reported_wrong, value_counts
 
 COLUMNS = ["id", "name", "score", "grp"]
 
@@ -61,7 +63,7 @@ def test_reports(spark):
 def test_expressions_and_conformity(spark):
     df = spark.createDataFrame([("s", 1, f"AB-{i:04d}") for i in range(200)] + [("s", 1, "?!"), ("s", 1, ""), ("s", 1, None)], "site string, load_no int, badge string")
     values = value_counts(df, "site", "load_no", ["badge"])
-    assert [r.expression for r in expressions(values).collect()] == ["^\\p{Lu}+\\-[0-9]+$"]
+    assert [r.expression for r in expressions(values).collect()] == ["^(?=[\\s\\S]{7,7}$)\\p{Lu}+\\-[0-9]+$"]
     assert [(r.held, r.nonconforming) for r in conformity(values).collect()] == [(202, 2)]
 
 
@@ -95,3 +97,37 @@ def test_names_of_another_population(spark):
     df = spark.createDataFrame([("s", load, rng.choice(strange if load == 5 else known)) for load in range(1, 9) for _ in range(300)], "site string, load_no int, name string")
     values, counts = profile(df, "site", "load_no", ["name"])
     assert {(r.load, r.reason) for r in departures(values, counts).collect()} == {(5, "mix")}
+
+
+def induced(spark, texts):
+    return {r.shape: r.expression for r in induce(spark.createDataFrame([("s", "c", t) for t in texts], "source string, column_name string, value string")).collect()}
+
+
+def test_shapes_are_merged_where_that_is_shorter(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["k", "r", "Q", "e", "Z"]) for _ in range(rng.randint(2, 9)))
+    texts = sorted({" ".join(word() for _ in range(rng.randint(2, 6))) for _ in range(300)})
+    got = induced(spark, texts)
+    assert len(set(got.values())) == 1 and len(got) > 250
+    (expression,) = set(got.values())
+    assert expression.endswith("$)[\\p{Lu}\\p{Ll}]+(?: [\\p{Lu}\\p{Ll}]+)+$")
+    assert all(regex.match(expression, t) for t in texts) and not regex.match(expression, "rk 9") and not regex.match(expression, "rke")
+
+
+def test_usual_shapes_stay_apart_and_odd_texts_earn_nothing(spark):
+    usual = [f"Ab{chr(97 + i % 26)}{chr(97 + i // 26)} Cd" for i in range(200)]
+    odd = ["zymotechnicallyoverlong", "QUITEUNEXPECTEDWORD", "x1y22z333 #", "What is this doing here"]
+    got = induced(spark, usual + odd)
+    assert set(got) == {"Aa Aa"} and all(regex.match(got["Aa Aa"], t) for t in usual) and not any(regex.match(got["Aa Aa"], t) for t in odd)
+
+
+def test_seventy_odd_values_in_one_load_hide_nothing(spark):
+    def change(load, i, row):
+        if load == 5:
+            row[3] = "g1"
+        if load == 8 and i < 70:
+            row[3] = f"odd{i}!{i % 7}"
+        return row
+
+    got = found(spark, change)
+    assert {(5, "grp", "mix"), (8, "grp", "shape")} <= got
