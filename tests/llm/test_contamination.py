@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from strataline.llm.contamination import RADIUS, ItemIndex, leaks
+from strataline.llm.contamination import PARTS, ItemIndex, Windows, covered_words, leaks
 from strataline.llm.words import words
 
 NAMES = ["Balu", "Corin", "Dema", "Elko", "Fanu", "Goril", "Hame", "Iska", "Jondo", "Kelba"]
@@ -69,19 +69,44 @@ def test_items_in_blocks_give_the_same(spark, items, monkeypatch):
     assert sorted(map(tuple, leaks(docs, wanted).select("doc_id", "item_id").collect())) == whole == [(i, i) for i in sorted(items)]
 
 
-def test_blocks_find_every_fingerprint_within_the_radius(items):
-    rows = [(i, words(t)) for i, t in items.items()]
-    index = ItemIndex(rows, Counter(w for _, ws in rows for w in set(ws)), len(rows))
+@pytest.mark.parametrize("radius", [2, 3, *(r for _, r in PARTS), 13])
+def test_blocks_find_every_fingerprint_within_the_radius(radius):
     rng = np.random.default_rng(2)
-    prints = index.prints[rng.integers(0, len(index.prints), 300)].copy()
+    windows = Windows(20, radius, rng.integers(0, 2**63, 200, np.uint64), rng.integers(0, 50, 200).astype(np.int32))
+    prints = windows.prints[rng.integers(0, len(windows.prints), 400)].copy()
     for k in range(len(prints)):
-        for bit in rng.choice(64, rng.integers(0, 6), replace=False):
+        for bit in rng.choice(64, rng.integers(0, radius + 3), replace=False):
             prints[k] ^= np.uint64(1) << np.uint64(bit)
-    w, i = index.hits(prints)
-    got = set(zip(w.tolist(), i.tolist(), strict=True))
-    far = np.bitwise_count(prints[:, None] ^ index.prints[None, :])
-    want = {(int(a), int(index.owners[b])) for a, b in zip(*np.nonzero(far <= RADIUS), strict=True)}
-    assert got == want
+    w, i = windows.hits(prints)
+    far = np.bitwise_count(prints[:, None] ^ windows.prints[None, :])
+    assert set(zip(w.tolist(), i.tolist(), strict=True)) == {(int(a), int(windows.owners[b])) for a, b in zip(*np.nonzero(far <= radius), strict=True)}
+
+
+@pytest.mark.parametrize("every", [12, 9, 8, 7, 6, 5])
+def test_one_word_changed_in_few_is_found(items, every):
+    rows = [(i, words(t)) for i, t in items.items()]
+    index = ItemIndex(rows, Counter(w for _, ws in rows for w in set(ws)), len(rows))
+    texts = [["before"] * 12 + [f"other{k}" if k % every == every // 2 else w for k, w in enumerate(ws)] + ["after"] * 12 for _, ws in rows]
+    found = index.search_all(texts)
+    assert np.mean([dict(f).get(i, 0) >= 0.5 for (i, _), f in zip(rows, found, strict=True)]) >= 0.9
+
+
+def test_without_near_fingerprints_nothing_is_found(items, monkeypatch):
+    rows = [(i, words(t)) for i, t in items.items()]
+    index = ItemIndex(rows, Counter(w for _, ws in rows for w in set(ws)), len(rows))
+    assert dict(index.search(rows[0][1]))[rows[0][0]] > 0.95
+    monkeypatch.setattr(Windows, "hits", lambda self, prints: (np.zeros(0, np.int64), np.zeros(0, np.int32)))
+    assert index.search(rows[0][1]) == []
+
+
+def test_alignments_do_not_depend_on_what_they_are_stacked_with():
+    rng = np.random.default_rng(3)
+    weights = [rng.random(m) + 0.5 for m in (20, 35, 50)]
+    sames = [rng.random((len(w), n)) < 0.05 for w, n in zip(weights, (30, 80, 10), strict=True)]
+    for k, x in enumerate(sames):
+        x[np.arange(10), np.arange(10)] = True
+        alone = covered_words([weights[k]], [x])[0]
+        assert (covered_words(weights, sames)[k] == alone).all() and alone.any()
 
 
 def test_altered_parts_of_items_are_found():
