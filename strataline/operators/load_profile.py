@@ -105,12 +105,13 @@ def induce(text: DataFrame) -> DataFrame:
 
     sums = [F.sum(c).alias(c) for c in ("values", "digits", "letters", "word_pieces")] + [F.min("shortest").alias("shortest"), F.max("longest").alias("longest")]
     free = F.col("chars") * math.log2(96) + F.col("values") * (F.log2(F.col("longest") + 1) + 1)
-    one = shapes.join(totals, at).withColumn("own", own("shape", 26, "pieces")).withColumn("cost", F.least("own", free)).withColumn("kept", F.col("own") < free)
+    # One value is no pattern: alone it is free text.
+    one = shapes.join(totals, at).withColumn("kept", (F.col("values") > 1) & (own("shape", 26, "pieces") < free)).withColumn("cost", F.when(F.col("kept"), own("shape", 26, "pieces")).otherwise(free))
     two = one.groupBy(*at, "words", "groups", "total").agg(*sums, F.sum("cost").alias("apart"))
-    two = two.withColumn("own", own("words", 52, "word_pieces")).withColumn("cost", F.least("own", "apart")).withColumn("kept", F.col("own") < F.col("apart"))
+    two = two.withColumn("own", own("words", 52, "word_pieces")).withColumn("kept", (F.col("values") > 1) & (F.col("own") < F.col("apart"))).withColumn("cost", F.when(F.col("kept"), F.col("own")).otherwise(F.col("apart")))
     repeats = F.col("values") * F.log2(F.col("longest") + 1)
     three = two.groupBy(*at, "groups", "total").agg(*sums, F.sum("cost").alias("apart")).filter(F.col("groups").contains(OPEN))
-    three = three.filter(own("groups", 52, "word_pieces") + repeats < F.col("apart"))
+    three = three.filter((F.col("values") > 1) & (own("groups", 52, "word_pieces") + repeats < F.col("apart")))
     ends = lambda rows, name: rows.select(*at, *[c for c in ("words", "groups") if c in rows.columns and name == c], F.struct("shortest", "longest").alias(f"{name}_ends"))
     out = (
         one.join(ends(two.filter("kept"), "words"), [*at, "words"], "left").join(ends(three, "groups"), [*at, "groups"], "left")
