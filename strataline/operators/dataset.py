@@ -5,14 +5,17 @@ The order is an ordinal column, attached only when an operator needs it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.common import prefix_sums
+from strataline.common import prefix_sums, running_total, stage
 from strataline.errors import EngineError, SchemaMismatch, translated
 from strataline.functions.aggregates import build, parse_reduce_op, variance_kind
 from strataline.operators.frame import Frame
@@ -29,18 +32,33 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFr
     """
     if order_by:
         return prefix_sums(df.withColumn("__one", F.lit(1)), [], list(order_by), "__one", ROW).drop("__one", "pid")
-    marked = df.withColumn("__id", F.monotonically_increasing_id())
-    pid = F.shiftrightunsigned("__id", 33)
-    held = marked.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("n")).collect()
-    start, at = {}, 0
-    for r in sorted(held, key=lambda r: r["__pid"]):
-        start[r["__pid"]] = at
-        at += r["n"]
-    if not start:
-        return df.withColumn(ROW, F.lit(0).cast("bigint"))
-    offsets = F.create_map(*[F.lit(x).cast("bigint") for kv in start.items() for x in kv])
+    # Written once, so that both passes see the same rows in the same partitions.
+    marked = stage(df.withColumn("__id", F.monotonically_increasing_id()))
+    pid = F.shiftrightunsigned("__id", 33).alias("__pid")
+    offsets = running_total(marked.groupBy(pid).agg(F.count(F.lit(1)).alias("n")), [], ["__pid"], "n", "__start").drop("n")
     local = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    return marked.withColumn(ROW, (offsets[pid] + local).cast("bigint")).drop("__id")
+    # One row a partition of the input.
+    return marked.withColumn("__pid", pid).join(F.broadcast(offsets), "__pid").withColumn(ROW, (F.col("__start") + local).cast("bigint")).drop("__id", "__pid", "__start")
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, in chunks of ``size`` rows but for the last; without a size the batches themselves."""
+    if size is None:
+        yield from batches
+        return
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, size - rows)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            rows += part.num_rows
+            if rows == size:
+                yield pa.concat_batches(held)
+                held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _cell(value: Any, kind: DataType, name: str) -> Any:
@@ -127,28 +145,28 @@ class Dataset:
 
     # Row functions
 
-    def _mapped(self, rows: Callable[[list[list[Any]]], list[Sequence[Any]]], seen: tuple | None = None) -> "Dataset":
-        """``seen``: accumulators of batches begun, batches ended and rows."""
+    def _mapped(self, rows: Callable[[list[list[Any]]], list[Sequence[Any]]], log: Accumulator | None = None, chunk_size: int | None = None) -> "Dataset":
+        """``log``: accumulator that takes every chunk as it ran; ``chunk_size``: rows of a chunk, else Spark's batches are the chunks."""
         names, arrow = self.df.columns, pa.schema([(f.name, {DataType.INT64: pa.int64(), DataType.FLOAT64: pa.float64(), DataType.BOOL: pa.bool_(), DataType.UTF8: pa.string()}[f.data_type]) for f in self.schema.fields])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if seen:
-                    seen[0].add(1)
+            for number, batch in enumerate(chunks_of(batches, chunk_size)):
+                began = time.time()
                 cells = [list(x) for x in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
                 out = rows(cells)
-                if seen:
-                    seen[1].add(1)
-                    seen[2].add(len(cells))
+                if log is not None:
+                    from strataline.execution import Chunk
+
+                    log.add([Chunk(TaskContext.get().partitionId(), number, len(cells), began, time.time())])
                 yield pa.record_batch([pa.array([r[i] for r in out], arrow.field(i).type) for i in range(len(names))], schema=arrow)
 
         return Dataset(self.df.mapInArrow(run, self.schema.to_struct()), self.schema, self.order_by)
 
-    def filter(self, keep: Callable[[list[Any]], bool], seen: tuple | None = None) -> "Dataset":
+    def filter(self, keep: Callable[[list[Any]], bool], log: Accumulator | None = None, chunk_size: int | None = None) -> "Dataset":
         """Rows (lists of cells) for which ``keep`` is true, order kept. Prefer Frame predicates, which Spark optimises."""
-        return self._mapped(lambda rows: [r for r in rows if keep(r)], seen)
+        return self._mapped(lambda rows: [r for r in rows if keep(r)], log, chunk_size)
 
-    def map(self, fn: Callable[[list[Any]], list[Any]], seen: tuple | None = None) -> "Dataset":
+    def map(self, fn: Callable[[list[Any]], list[Any]], log: Accumulator | None = None, chunk_size: int | None = None) -> "Dataset":
         """Rows changed one by one; the schema stays, another number of cells raises."""
         width = len(self.schema.fields)
 
@@ -158,7 +176,7 @@ class Dataset:
                 raise ValueError(f"map must return {width} cells a row")
             return out
 
-        return self._mapped(each, seen)
+        return self._mapped(each, log, chunk_size)
 
     def fold(self, initial: Any, fn: Callable[[Any, list[Any]], Any]) -> Any:
         """A sequential fold in row order, streamed through the driver."""

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.common import scratch_path, stage, table
+from strataline.common import scratch_path, table
 from strataline.functions.aggregates import REDUCE_OPS
-from strataline.functions.quantile import nearest_of_counts
-from strataline.operators.dataset import ROW, Dataset, with_ordinal
+from strataline.operators.dataset import Dataset
 from strataline.operators.frame import Frame
 from strataline.plans.sql_context import SqlContext, query
 from strataline.plans.transform import TransformSpec
@@ -219,9 +218,9 @@ _ORDINAL = "SELECT row_number() OVER (ORDER BY o_orderkey)-1 AS row,o_totalprice
 
 def _arg(which: str, sql: str) -> None:
     def run(spark, d):
-        df = with_ordinal(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("x")), ["o_orderkey"])
-        pick = F.max_by(F.struct(F.col(ROW).alias("row"), "x"), F.struct("x", -F.col(ROW))) if which == "max" else F.min_by(F.struct(F.col(ROW).alias("row"), "x"), F.struct("x", F.col(ROW)))
-        return df.filter("x is not null").agg(pick.alias("v")).select("v.*")
+        rows = Dataset(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("x")), order_by=["o_orderkey"])
+        found = rows.arg_max_row("x") if which == "max" else rows.arg_min_row("x")
+        return spark.createDataFrame([found] if found else [], "row bigint, x double")
 
     query_of(f"arg_{which}", f"SELECT row,x FROM ({_ORDINAL}) ORDER BY x {sql},row LIMIT 1")(run)
 
@@ -264,19 +263,17 @@ def _(spark, d):
     return context.execute("SELECT n.n_name,count(*) AS n FROM c JOIN n ON c.c_nationkey=n.n_nationkey WHERE c.c_acctbal IS NOT NULL GROUP BY n.n_name").df
 
 
-@query_of("transform_spec", "SELECT c_custkey AS id,CAST(c_custkey AS VARCHAR) AS key,round(c_acctbal*1.5,4) AS scaled,'x' AS tag FROM customer")
+@query_of("transform_spec", "SELECT c_custkey AS id,CAST(c_nationkey AS VARCHAR) AS key,round(c_acctbal*1.5,4) AS scaled,'x' AS tag FROM customer")
 def _(spark, d):
     spec = TransformSpec.build(
         [("id", "int64"), ("key", "utf8"), ("scaled", "float64"), ("tag", "utf8")],
         [
-            ("Select", {"columns": ["c_custkey", "c_acctbal", "c_name"]}), ("Rename", {"pairs": [["c_custkey", "id"], ["c_name", "key"]]}), ("FillNull", {"column": "c_acctbal", "value": {"Float64": 0.0}}),
-            ("DeriveMulF64", {"name": "scaled", "source": "c_acctbal", "factor": 1.5}), ("DeriveAddF64", {"name": "unused", "source": "c_acctbal", "delta": 1.0}), ("Drop", {"columns": ["unused", "key"]}),
-            ("WithLiteral", {"name": "tag", "value": {"Utf8": "x"}}),
+            ("Select", {"columns": ["c_custkey", "c_acctbal", "c_nationkey", "c_name"]}), ("Rename", {"pairs": [["c_custkey", "id"], ["c_nationkey", "key"]]}), ("Cast", {"column": "key", "to": "Utf8", "mode": "strict"}),
+            ("FillNull", {"column": "c_acctbal", "value": {"Float64": 0.0}}), ("DeriveMulF64", {"name": "scaled", "source": "c_acctbal", "factor": 1.5}), ("DeriveAddF64", {"name": "unused", "source": "c_acctbal", "delta": 1.0}),
+            ("Drop", {"columns": ["unused", "c_name"]}), ("WithLiteral", {"name": "tag", "value": {"Utf8": "x"}}),
         ],
     )
-    start = frame(spark, d, "customer")
-    done = spec.frame(start)
-    out = Frame(done.df.withColumn("key", F.col("id"))).cast("key", "utf8", "strict").collect_with_schema(spec.output).df
+    out = TransformSpec.from_json(spec.to_json()).apply(Dataset(table(spark, d, "customer"))).df
     return out.withColumn("scaled", F.round("scaled", 4))
 
 
@@ -294,10 +291,8 @@ def _profile_sql(rows: str, columns: list[str] = _NUM) -> str:
 
 
 def _profiled(df: DataFrame, columns: list[str] = _NUM) -> DataFrame:
-    counts = stage(profile.counts_frame(df.select(*columns)))
-    marks = nearest_of_counts(counts, "column", [0.5, 0.95])
-    q = marks.groupBy("column").agg(F.max(F.when(F.col("fraction") == 0.5, F.col("value"))).alias("q50"), F.max(F.when(F.col("fraction") == 0.95, F.col("value"))).alias("q95"))
-    return profile.profile_frame(counts).drop("data_type").join(q, "column").withColumns({c: F.round(c, 4) for c in ("min", "max", "mean", "q50", "q95")})
+    out = profile.profile_frame(df.select(*columns), [0.5, 0.95]).drop("data_type", "min_int", "max_int").withColumnsRenamed({"q0.5": "q50", "q0.95": "q95"})
+    return out.withColumns({c: F.round(c, 4) for c in ("min", "max", "mean", "q50", "q95")})
 
 
 @query_of("profile_full", _profile_sql("SELECT * FROM lineitem"))
@@ -313,7 +308,16 @@ def _(spark, d):
 @query_of("profile_text", "SELECT 'c_mktsegment' AS \"column\",count(*) AS row_count,count(*)-count(nullif(c_mktsegment,'BUILDING')) AS null_count,count(DISTINCT nullif(c_mktsegment,'BUILDING')) AS distinct_count FROM customer")
 def _(spark, d):
     df = table(spark, d, "customer").select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"))
-    return profile.profile_frame(profile.counts_frame(df)).select("column", "row_count", "null_count", "distinct_count")
+    return profile.profile_frame(df).select("column", "row_count", "null_count", "distinct_count")
+
+
+@query_of(
+    "profile_big_ids",
+    "SELECT 'id' AS \"column\",count(*) AS row_count,count(DISTINCT id) AS distinct_count,min(id) AS min_int,max(id) AS max_int FROM (SELECT 9007199254740992+o_orderkey AS id FROM orders)",
+)
+def _(spark, d):
+    ids = table(spark, d, "orders").select((F.lit(2**53) + F.col("o_orderkey")).alias("id"))
+    return profile.profile_frame(ids).select("column", "row_count", "distinct_count", "min_int", "max_int")
 
 
 def _check(name: str, spec: dict, sql: str, source: str = "lineitem", nulls: str | None = None) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.errors import EngineError
-from strataline.functions.quantile import nearest_quantiles
+from strataline.functions.quantile import order_statistics
 from strataline.operators.dataset import Dataset
 from strataline.operators.frame import Frame
 from strataline.quality.profile import sampled
@@ -65,13 +65,11 @@ class OutlierReport:
         )
 
     def to_markdown(self) -> str:
-        s = self.stats
-        lines = ["## Outlier report", "", f"- Column: `{self.column}`", f"- Rows profiled: **{self.row_count}**", f"- Outliers: **{self.outlier_count}**", "", "### Stats", "", f"- Method: `{self.method.describe()}`"]
-        lines += [f"- {k}: `{s[k]:.6f}`" for k in ("mean", "std", "median", "mad") if s[k] is not None]
-        if s["lower_fence"] is not None and s["upper_fence"] is not None:
-            lines.append(f"- fences: `[{s['lower_fence']:.6f}, {s['upper_fence']:.6f}]`")
-        if self.examples:
-            lines += ["", "### Examples", "", *(f"- `{x}`" for x in self.examples)]
+        share = self.outlier_count / self.row_count if self.row_count else 0.0
+        lines = [f"# Outliers of {self.column}", "", f"{self.outlier_count} of {self.row_count} rows ({share:.4%}) by {self.method.describe()}", ""]
+        known = [(k, v) for k, v in self.stats.items() if v is not None]
+        lines += ["| statistic | value |", "| --- | --- |", *(f"| {k} | {v:.6f} |" for k, v in known)] if known else []
+        lines += ["", "Examples: " + ", ".join(map(str, self.examples))] if self.examples else []
         return "\n".join(lines) + "\n"
 
 
@@ -81,18 +79,23 @@ STATS = ["mean", "std", "median", "mad", "q1", "q3", "lower_fence", "upper_fence
 def stats_frame(df: DataFrame, column: str, method: Method) -> DataFrame:
     """One row with row_count and the statistics of the method (others null)."""
     x = col(column).cast("double")
-    base = df.agg(F.count(F.lit(1)).alias("row_count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.median(x).alias("median"))
+    values = df.select(x.alias("x"))
+    base = values.agg(F.count(F.lit(1)).alias("row_count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
     none = {s: F.lit(None).cast("double").alias(s) for s in STATS}
     if method.kind == "z_score":
         return base.select("row_count", *[F.col(s) if s in ("mean", "std") else none[s] for s in STATS])
+    at = lambda rows, q, how: {r["fraction"]: r["value"] for r in order_statistics(rows, ["x"], q, method=how).collect()}
+    found: dict[str, float | None] = dict.fromkeys(STATS)
     if method.kind == "mad":
-        spread = df.join(F.broadcast(base.select(F.col("median").alias("__m")))).agg(F.median(F.abs(x - F.col("__m"))).alias("mad"))
-        return base.join(F.broadcast(spread)).select("row_count", *[F.col(s) if s in ("median", "mad") else none[s] for s in STATS])
-    marks = nearest_quantiles(df.select(F.lit("x").alias("g"), x.alias("v")), "g", "v", [0.25, 0.75])
-    q = marks.agg(F.min(F.when(F.col("fraction") == 0.25, F.col("value"))).alias("q1"), F.min(F.when(F.col("fraction") == 0.75, F.col("value"))).alias("q3"))
-    width = F.lit(method.value) * (F.col("q3") - F.col("q1"))
-    fenced = q.withColumn("lower_fence", F.col("q1") - width).withColumn("upper_fence", F.col("q3") + width)
-    return base.join(F.broadcast(fenced)).select("row_count", *[F.col(s) if s in ("q1", "q3", "lower_fence", "upper_fence") else none[s] for s in STATS])
+        found["median"] = at(values, [0.5], "linear").get(0.5)
+        if found["median"] is not None:
+            found["mad"] = at(values.select(F.abs(F.col("x") - F.lit(found["median"])).alias("x")), [0.5], "linear").get(0.5)
+    else:
+        marks = at(values, [0.25, 0.75], "nearest")
+        if marks:
+            width = method.value * (marks[0.75] - marks[0.25])
+            found |= {"q1": marks[0.25], "q3": marks[0.75], "lower_fence": marks[0.25] - width, "upper_fence": marks[0.75] + width}
+    return base.select("row_count", *[F.lit(found[s]).cast("double").alias(s) for s in STATS])
 
 
 def outlying(x: Column, method: Method, stats: dict[str, Any]) -> Column:

@@ -4,7 +4,7 @@ import pytest
 
 from strataline import api, cdc
 from strataline.errors import EngineError
-from strataline.execution import ExecutionEngine, ExecutionOptions
+from strataline.execution import Chunk, ExecutionEngine, ExecutionOptions, most_at_once
 from strataline.operators.change_feed import apply_changes
 from strataline.operators.dataset import Dataset
 from strataline.plans.sql_context import SqlContext, query
@@ -13,11 +13,11 @@ from strataline.plans.transform import TransformSpec
 
 @pytest.fixture(scope="module")
 def data(spark):
-    return Dataset.from_rows(spark, [("id", "int64"), ("score", "int64"), ("name", "utf8")], [[1, 10, "a"], [2, None, "b"]])
+    return Dataset.from_rows(spark, [("id", "int64"), ("score", "int64"), ("name", "utf8")], [[7, 30, "u"], [9, None, "v"]])
 
 
 def test_sql(spark, data):
-    assert query(data.frame(), "select name from df where score is not null").collect().to_rows() == [["a"]]
+    assert query(data.frame(), "select name from df where score is not null").collect().to_rows() == [["u"]]
     c = SqlContext()
     with pytest.raises(EngineError):
         c.register(" ", data.frame())
@@ -38,7 +38,7 @@ def test_transform_spec(data):
         ],
     }
     parsed = TransformSpec.from_json(json.dumps(spec))
-    want = [[1, 10.0, 20.0, "x"], [2, 0.0, 0.0, "x"]]
+    want = [[7, 30.0, 60.0, "x"], [9, 0.0, 0.0, "x"]]
     assert parsed.apply(data).to_rows() == want
     assert TransformSpec.from_json(parsed.to_json()).apply(data).to_rows() == want
     with pytest.raises(ValueError):
@@ -48,13 +48,46 @@ def test_transform_spec(data):
 def test_execution(data):
     events = []
     engine = ExecutionEngine(ExecutionOptions(chunk_size=1), events.append)
-    assert engine.filter_parallel(data, lambda r: r[0] == 1).to_rows() == [[1, 10, "a"]]
+    assert engine.filter_parallel(data, lambda r: r[0] == 7).to_rows() == [[7, 30, "u"]]
     m = engine.metrics_snapshot()
     assert m.rows_processed == 2 and m.chunks_started == m.chunks_finished > 0
-    assert engine.reduce(data, "score", "sum") == 10
+    assert engine.reduce(data, "score", "sum") == 30
     assert events[0].kind == "run_started" and events[-1].kind == "reduce_finished"
-    with pytest.raises(ValueError):
-        ExecutionOptions(chunk_size=0)
+    for bad in ({"chunk_size": 0}, {"num_threads": 0}, {"max_in_flight_chunks": 0}):
+        with pytest.raises(ValueError):
+            ExecutionOptions(**bad)
+
+
+@pytest.mark.parametrize("size,chunks", [(10, 8), (7, 12), (1000, 4)])
+def test_chunk_size_decides_the_chunks(spark, size, chunks):
+    rows = Dataset(spark.range(0, 80, 1, 4))
+    engine = ExecutionEngine(ExecutionOptions(chunk_size=size))
+    assert sorted(engine.map_parallel(rows, lambda r: [-r[0]]).to_rows()) == sorted([-i] for i in range(80))
+    m = engine.metrics_snapshot()
+    assert (m.chunks_started, m.chunks_finished, m.rows_processed, m.throttle_wait_s) == (chunks, chunks, 80, 0.0)
+
+
+def test_bounds_hold_and_events_come_while_the_job_runs(spark):
+    import time
+
+    def slow(row):
+        time.sleep(0.02)
+        return row
+
+    rows, times, events = Dataset(spark.range(0, 40, 1, 8)), [], []
+    engine = ExecutionEngine(ExecutionOptions(chunk_size=5, max_in_flight_chunks=2), lambda e: (events.append(e), times.append(time.time())))
+    engine.map_parallel(rows, slow)
+    m = engine.metrics_snapshot()
+    assert m.chunks_finished == 8 and m.max_active_chunks <= 2 and m.throttle_wait_s > 0
+    assert [e.kind for e in events if e.kind == "throttle_waited"] == ["throttle_waited"] * 2
+    free = ExecutionEngine(ExecutionOptions(chunk_size=5))
+    free.map_parallel(rows, slow)
+    assert free.metrics_snapshot().max_active_chunks > 2
+    assert events[-1].kind == "run_finished" and [e.kind for e in events].count("chunk_started") == 8
+
+
+def test_chunks_that_ran_at_once():
+    assert most_at_once([Chunk(0, 0, 1, 0.0, 1.0), Chunk(1, 0, 1, 0.5, 2.0), Chunk(2, 0, 1, 1.0, 3.0)]) == 2 and most_at_once([]) == 0
 
 
 def test_change_events(spark):
@@ -76,6 +109,6 @@ def test_change_events(spark):
 
 def test_flat_names(data):
     assert all(hasattr(api, n) for n in api.__all__)
-    assert api.processing_reduce(data, "score", "max") == 10
-    assert api.sql_query_dataset(data, "select max(id) as m from df").to_rows() == [[2]]
+    assert api.processing_reduce(data, "score", "max") == 30
+    assert api.sql_query_dataset(data, "select max(id) as m from df").to_rows() == [[9]]
     assert api.extension_version()

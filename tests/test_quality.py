@@ -25,27 +25,38 @@ def test_profile(data):
     with pytest.raises(ValueError):
         profile(data, {"quantiles": [2.0]})
     assert json.loads(r.to_json())["columns"][2]["numeric"] is None
-    assert "| `name` | Utf8 | 1 | 2 | — | — | — |" in r.to_markdown()
+    assert "| name | utf8 | 1 | 2 | - | - | - | - | - | - |" in r.to_markdown() and "| id | int64 | 0 | 2 | 1 | 2 | " in r.to_markdown()
 
 
 def test_profile_of_empty_tables(spark):
     assert profile(Dataset.from_rows(spark, [("a", "int64")], [])).row_count == 0
 
 
-def test_nearest_quantiles_agree(spark, monkeypatch):
-    df = spark.range(1001).selectExpr("'g' as g", "cast((id * 7919) % 1001 as double) as v").union(spark.sql("select 'h', cast(null as double)"))
-    fast = quantile.nearest_quantiles(df, "g", "v", [0.1, 0.5, 0.95]).orderBy("fraction").collect()
-    monkeypatch.setattr(quantile, "ONE_TASK", 10)
-    assert quantile.nearest_quantiles(df, "g", "v", [0.1, 0.5, 0.95]).orderBy("fraction").collect() == fast
-    assert [r["value"] for r in fast] == [100.0, 500.0, 950.0]
+@pytest.mark.parametrize("ranked", [5, 100_000])
+def test_order_statistics_are_exact(spark, monkeypatch, ranked):
+    monkeypatch.setattr(quantile, "RANKED", ranked)
+    df = spark.range(30_000).selectExpr("cast((id * 7919) % 10007 as double) as a", "case when id < 20000 then 5.0 when id < 25000 then -id else double('NaN') end as b", "cast(null as double) as c")
+    got = {(r["column"], r["fraction"]): r["value"] for r in quantile.order_statistics(df, ["a", "b", "c"], [0.0, 0.1, 0.5, 0.95, 1.0]).collect()}
+    pdf = df.toPandas()
+    for c in "ab":
+        x = sorted(pdf[c].dropna())
+        assert all(got[c, q] == x[int((len(x) - 1) * q + 0.5)] for q in (0.0, 0.1, 0.5, 0.95, 1.0))
+    assert not any(c == "c" for c, _ in got)
+    middle = quantile.order_statistics(df, ["a"], [0.5], method="linear").first()
+    assert middle["value"] == pdf["a"].median() and middle["n"] == 30_000
 
 
-def test_nearest_quantiles_of_infinite_values_agree(spark, monkeypatch):
-    df = spark.range(100).selectExpr("'g' as g", "case when id < 20 then double('-Infinity') when id >= 80 then double('Infinity') else double(id) end as v")
-    fast = quantile.nearest_quantiles(df, "g", "v", [0.0, 0.5, 1.0]).orderBy("fraction").collect()
-    monkeypatch.setattr(quantile, "ONE_TASK", 10)
-    assert quantile.nearest_quantiles(df, "g", "v", [0.0, 0.5, 1.0]).orderBy("fraction").collect() == fast
-    assert [r["value"] for r in fast] == [-float("inf"), 50.0, float("inf")]
+@pytest.mark.parametrize("ranked", [5, 100_000])
+def test_order_statistics_of_infinite_values_and_large_integers(spark, monkeypatch, ranked):
+    monkeypatch.setattr(quantile, "RANKED", ranked)
+    df = spark.range(100).selectExpr("case when id < 20 then double('-Infinity') when id >= 80 then double('Infinity') else double(id) end as v", "9007199254740992 + id as k")
+    assert [r["value"] for r in quantile.order_statistics(df, ["v"], [0.0, 0.5, 1.0]).orderBy("fraction").collect()] == [-float("inf"), 50.0, float("inf")]
+    assert [r["value"] for r in quantile.order_statistics(df, ["k"], [0.0, 0.5, 1.0]).orderBy("fraction").collect()] == [2**53, 2**53 + 50, 2**53 + 99]
+
+
+def test_large_integers_are_told_apart(spark):
+    (c,) = profile(Dataset(spark.range(2**53, 2**53 + 10))).columns
+    assert (c.distinct_count, c.numeric.min, c.numeric.max) == (10, 2**53, 2**53 + 9)
 
 
 def test_validation(data):
@@ -57,7 +68,7 @@ def test_validation(data):
     r = validate(data, checks)
     assert [x.failed_count for x in r.results] == [1, 1, 1, 0, 1, 3, 2]
     assert r.results[1].examples == [200.0] and r.results[2].examples == [] and r.max_severity is Severity.ERROR
-    assert "column 'score' has 1 value(s) outside [0, 100]" in r.to_markdown()
+    assert "score: 1 values lie outside 0 to 100" in r.to_markdown()
     assert json.loads(r.to_json())["summary"]["failed_checks"] == 6
     assert validate(data, {"checks": checks[:1], "max_examples": 0}).results[0].examples == []
     with pytest.raises(EngineError):
@@ -71,6 +82,6 @@ def test_outliers(spark):
     assert (r.stats["lower_fence"], r.stats["upper_fence"]) == (0.5, 4.5)
     assert detect(d, "x", "mad").outlier_count == 1 and detect(d, "x", "z_score").outlier_count == 0
     assert detect(Dataset.from_rows(spark, [("x", "int64")], [[5], [5]]), "x", "mad").outlier_count == 0
-    assert api.detect_outliers(d, "x", "iqr")["outlier_count"] == 1 and "fences" in api.detect_outliers_markdown(d, "x", "iqr")
+    assert api.detect_outliers(d, "x", "iqr")["outlier_count"] == 1 and "lower_fence" in api.detect_outliers_markdown(d, "x", "iqr")
     with pytest.raises(EngineError):
         detect(d, "t", "iqr")
