@@ -154,7 +154,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
     wanted = targets.filter("source is not null and target_share > 0 and max_repeats > 0").select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats"))
     # A target names a source; there are as many rows as the mixture has parts.
     parts = {r["source"]: (r["target_share"], r["max_repeats"]) for r in wanted.collect()}
-    counted = token_counts(documents, vocabulary).filter(F.col("source").isin(*parts) if parts else F.lit(False)).filter("tokens > 0")
+    # Texts are tokenised once, and only those of sources with a target.
+    counted = stage(token_counts(documents.filter(F.col("source").isin(*parts) if parts else F.lit(False)), vocabulary).filter("tokens > 0"))
     # Map-side combine keeps a text with very many copies to one row a task.
     texts = stage(
         counted.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.array_join(F.array_sort(F.collect_set("source")), "\u001f").alias("pattern"))

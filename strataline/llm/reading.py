@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.words import plain, words
+from strataline.llm.words import plain, words, words_of
 
 #: Most graded documents used to fit the ranker; pairs drawn from them; buckets of hashed words.
 LABEL_LIMIT, PAIRS, BUCKETS = 8000, 200_000, 1 << 15
@@ -36,18 +35,41 @@ DENSE = 9
 FEW, FEW_SHARE = 4, 5e-5
 
 
-def bucket(word: str, size: int) -> int:
-    return xxhash.xxh64_intdigest(word) % size
+class Words(dict):
+    """Words numbered in order of first use, with what the ranker sees of each: length, whether it is letters only, and
+    its buckets of corpus frequencies and of hashed vocabulary. Each word is hashed once a task, texts become arrays."""
+
+    LIMIT = 200_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.size, self.alpha = np.zeros(1024, np.int32), np.zeros(1024, bool)
+        self.frequency, self.hashed = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        if k == len(self.size):
+            for name in ("size", "alpha", "frequency", "hashed"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
+        h = xxhash.xxh64_intdigest(word)
+        self.size[k], self.alpha[k], self.frequency[k], self.hashed[k] = len(word), word.isalpha(), h % FREQUENCIES, h % BUCKETS
+        return k
+
+    def numbers(self, ws: list[str]) -> np.ndarray:
+        """The words of one text; their numbers hold until the next text."""
+        if len(self) > self.LIMIT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(FREQUENCIES, np.int64)
-    docs = 0
+    docs, known = 0, Words()
     for pdf in batches:
         for text in pdf["text"]:
             docs += 1
-            for b in {bucket(w, FREQUENCIES) for w in words(text)}:
-                counts[b] += 1
+            ids = known.numbers(words(text))
+            counts[np.unique(known.frequency[ids])] += 1
     held = np.flatnonzero(counts)
     yield pd.DataFrame({"bucket": np.append(held, -1), "n": np.append(counts[held], docs)})
 
@@ -61,25 +83,26 @@ def document_frequencies(documents: DataFrame) -> np.ndarray:
     return out
 
 
-def features(text: str | None, rarity: np.ndarray) -> tuple[np.ndarray, dict[int, float]]:
-    """(dense syntax and vocabulary features, shares of hashed words) of the words the corpus knows; names,
-    numbers and codes are left out. A text without known words has zeros."""
-    ws = [w for w in words(text) if w.isalpha() and math.isfinite(rarity[bucket(w, FREQUENCIES)])]
-    dense = np.zeros(DENSE)
-    if not ws:
-        return dense, {}
-    n = len(ws)
-    body = plain(text)
-    sizes = np.array([len(w) for w in ws])
+def features(text: str | None, rarity: np.ndarray, known: Words | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(dense syntax and vocabulary features, hashed buckets of the words, number of all words) of a text. Only letters-only words that
+    the corpus knows are looked at; names, numbers and codes are left out. A text without known words has zeros."""
+    known = Words() if known is None else known
+    body = plain(text) if text else ""
+    all_ids = known.numbers(words_of(body))
+    ids = all_ids[known.alpha[all_ids]]
+    rare = rarity[known.frequency[ids]]
+    ids, rare = ids[np.isfinite(rare)], rare[np.isfinite(rare)]
+    dense, n = np.zeros(DENSE), len(ids)
+    if not n:
+        return dense, known.hashed[ids], len(all_ids)
+    sizes = known.size[ids]
     sentences = [len(s.split()) for s in _SENTENCE.split(body) if s.strip()]
-    rare = rarity[[bucket(w, FREQUENCIES) for w in ws]]
     dense[:] = [
         sizes.mean() / 5, (sizes >= 7).mean(), (sizes >= 10).mean(), (sizes >= 13).mean(), sizes.std() / 3,
-        math.log1p(float(np.mean(sentences) if sentences else n)) / 3, body.count(",") / n * 5,
-        math.log(len(set(ws))) / math.log(n + 1), rare.mean() / 5,
+        math.log1p(sum(sentences) / len(sentences) if sentences else n) / 3, body.count(",") / n * 5,
+        math.log(len(np.unique(ids))) / math.log(n + 1), rare.mean() / 5,
     ]
-    counts = Counter(bucket(w, BUCKETS) for w in ws)
-    return dense, {b: c / n for b, c in counts.items()}
+    return dense, known.hashed[ids], len(all_ids)
 
 
 @dataclass
@@ -94,9 +117,9 @@ class Model:
     knots: np.ndarray
     values: np.ndarray
 
-    def score(self, text: str | None) -> float:
-        x, shares = features(text, self.rarity)
-        return float(((x - self.mean) / self.scale) @ self.dense) + WORD_SCALE * sum(self.hashed[b] * v for b, v in shares.items())
+    def score(self, dense: np.ndarray, buckets: np.ndarray) -> float:
+        """The score of a text's :func:`features`."""
+        return float(((dense - self.mean) / self.scale) @ self.dense) + (WORD_SCALE * float(self.hashed[buckets].mean()) if len(buckets) else 0.0)
 
     def level(self, score: float) -> float:
         """The calibrated level, between 1 and 4, not rounded."""
@@ -124,17 +147,18 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(knots), np.array(values)
 
 
-def fit(texts: list[str], levels: np.ndarray, rarity: np.ndarray, *, rounds: int = 300, penalty: float = 2e-4, seed: int = 11) -> Model:
-    """Fit the pairwise ranker and its calibration on graded texts."""
-    rows = [features(t, rarity) for t in texts]
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], levels: np.ndarray, rarity: np.ndarray, *, rounds: int = 300, penalty: float = 2e-4, seed: int = 11) -> Model:
+    """Fit the pairwise ranker and its calibration on the (dense features, buckets) of graded texts."""
     x = np.array([d for d, _ in rows])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     x = (x - mean) / scale
-    at = np.concatenate([np.full(len(h), i) for i, (_, h) in enumerate(rows)]).astype(int)
-    col = np.concatenate([np.fromiter(h.keys(), int, len(h)) for _, h in rows]).astype(int)
-    val = WORD_SCALE * np.concatenate([np.fromiter(h.values(), float, len(h)) for _, h in rows])
+    # Shares of the buckets of each text.
+    shares = [np.unique(b, return_counts=True) for _, b in rows]
+    at = np.repeat(np.arange(len(rows)), [len(b) for b, _ in shares])
+    col = np.concatenate([b for b, _ in shares]).astype(int)
+    val = WORD_SCALE * np.concatenate([n / max(1, n.sum()) for _, n in shares])
     rng = np.random.default_rng(seed)
-    n = len(texts)
+    n = len(rows)
     a, b = rng.integers(0, n, PAIRS), rng.integers(0, n, PAIRS)
     keep = np.abs(levels[a] - levels[b]) >= 1
     a, b = a[keep], b[keep]
@@ -173,10 +197,21 @@ def train(documents: DataFrame, labels: DataFrame, *, limit: int = LABEL_LIMIT)
     rarity = rarities(document_frequencies(documents))
     grades = labels.filter(F.col("reading_level").isin(*LEVELS)).groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
     some = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.select("doc_id", "text").filter("text is not null").join(some, "doc_id").select("doc_id", "text", "level").toPandas().sort_values("doc_id")
+    sent = documents.sparkSession.sparkContext.broadcast(rarity)
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Words()
+        for pdf in batches:
+            rows = [features(t, sent.value, known)[:2] for t in pdf["text"]]
+            counts = [np.unique(b, return_counts=True) for _, b in rows]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "level": pdf["level"], "dense": [d for d, _ in rows], "buckets": [b for b, _ in counts], "times": [n for _, n in counts]})
+
+    # Features come to the driver, not texts: at most ``limit`` rows of at most BUCKETS entries.
+    graded = documents.select("doc_id", "text").filter("text is not null").join(some, "doc_id").select("doc_id", "level", "text")
+    rows = graded.mapInPandas(seen, "doc_id bigint, level double, dense array<double>, buckets array<int>, times array<bigint>").toPandas().sort_values("doc_id")
     if rows["level"].nunique() < 2:
         raise NotGraded("graded documents of at least two levels are needed")
-    return fit(rows["text"].tolist(), rows["level"].to_numpy(), rarity)
+    return fit([(np.array(d, float), np.repeat(b, n)) for d, b, n in zip(rows["dense"], rows["buckets"], rows["times"], strict=True)], rows["level"].to_numpy(), rarity)
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, *, limit: int = LABEL_LIMIT) -> DataFrame:
@@ -196,9 +231,12 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, limit: int = LABE
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = sent.value
+        model, known = sent.value, Words()
         for pdf in batches:
-            scores = [model.score(t) if t and words(t) else None for t in pdf["text"]]
+            scores = []
+            for t in pdf["text"]:
+                dense, buckets, n = features(t, model.rarity, known)
+                scores.append(model.score(dense, buckets) if n else None)
             levels = [None if s is None else model.level(s) for s in scores]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "n_words": [len(t.split()) if t else 0 for t in pdf["text"]],

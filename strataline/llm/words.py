@@ -21,9 +21,12 @@ def plain(text: str) -> str:
 
 def words(text: str | None) -> list[str]:
     """Lower-case words without accents, punctuation and markup; null gives none."""
-    if not text:
-        return []
-    text = plain(text).casefold()
+    return words_of(plain(text)) if text else []
+
+
+def words_of(body: str) -> list[str]:
+    """The same of a text that is plain already."""
+    text = body.casefold()
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return _WORD.findall(text)

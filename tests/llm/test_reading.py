@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strataline.llm.reading import features, isotonic, rarities, reading_levels, train, FREQUENCIES
+from strataline.llm.reading import features, isotonic, rarities, reading_levels, train, FREQUENCIES, Words
 
 VOCABULARY = {
     1: "the cat is big and red it sat on my box we like him now".split(),
@@ -64,5 +64,17 @@ def test_isotonic_is_monotone_and_keeps_the_mean(points):
 def test_texts_without_words():
     rarity = rarities(np.ones(FREQUENCIES + 1))
     for t in (None, "", "?!", "12 34"):
-        dense, shares = features(t, rarity)
-        assert not dense.any() and not shares
+        dense, buckets, _ = features(t, rarity)
+        assert not dense.any() and not len(buckets)
+
+
+def test_words_numbered_anew_change_nothing(monkeypatch):
+    rng = random.Random(3)
+    rarity = rarities(np.full(FREQUENCIES + 1, 100.0))
+    texts = [text(1 + i % 4, rng) for i in range(12)]
+    alone = [features(t, rarity) for t in texts]
+    monkeypatch.setattr(Words, "LIMIT", 5)
+    known = Words()
+    for (dense, buckets, n), t in zip(alone, texts, strict=True):
+        d, b, m = features(t, rarity, known)
+        assert (d == dense).all() and (b == buckets).all() and n == m
