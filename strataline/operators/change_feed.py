@@ -27,7 +27,10 @@ def commit_order(checkpoint: Column) -> Column:
     pad = lambda x: F.lpad(x, 20, "0")
     halves = F.split(F.upper(c), "/")
     lsn = F.concat(pad(F.conv(halves[0], 16, 10)), pad(F.conv(halves[1], 16, 10)))
-    time = F.try_to_timestamp(F.regexp_extract(c, r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:?\d\d)?)", 1))
+    # A time without a zone means UTC, whatever the session's zone.
+    stamp = r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?)(Z|[+-]\d\d:?\d\d)?"
+    zone = F.regexp_extract(c, stamp, 2)
+    time = F.try_to_timestamp(F.concat(F.regexp_extract(c, stamp, 1), F.when(zone == "", "Z").otherwise(zone)))
     rest = F.regexp_replace(c, r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:?\d\d)?", "")
     numbers = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)), lambda n: pad(F.regexp_replace(n, r"^0+(?=\d)", ""))), "")
     order = (

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataline.common import running_total, stage
 
@@ -23,17 +24,16 @@ from strataline.common import running_total, stage
 def value_counts(df: DataFrame, groups: Sequence[str], part: str, value: str) -> DataFrame:
     """The mergeable partial result: rows per (groups, part, value).
 
-    Values that are no numbers (null, NaN, infinite) are left out; negative numbers and zero stay. A null
-    group is a group. Empty input gives an empty table.
+    Values that are no numbers (null, NaN, infinite) are left out; negative numbers and zero stay. Integers stay integers, so those
+    that doubles cannot hold are told apart. A null group is a group. Empty input gives an empty table.
     """
-    v = F.col(value).cast("double")
-    inf = F.lit(float("inf"))
-    return (
-        df.select(*groups, F.col(part).alias("part"), (v + F.lit(0.0)).alias("value"))
-        .filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != inf))
-        .groupBy(*groups, "part", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    if isinstance(df.schema[value].dataType, T.IntegralType):
+        known = df.select(*groups, F.col(part).alias("part"), F.col(value).cast("bigint").alias("value")).filter("value is not null")
+    else:
+        # Adding 0 turns -0 into 0.
+        known = df.select(*groups, F.col(part).alias("part"), (F.col(value).cast("double") + F.lit(0.0)).alias("value"))
+        known = known.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != F.lit(float("inf"))))
+    return known.groupBy(*groups, "part", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def combine(*partials: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def combine(*partials: DataFrame) -> DataFrame:
 
 
 def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[float], *, method: str = "linear", partitions: int | None = None) -> DataFrame:
-    """Percentiles of each group: columns groups, ``fraction``, ``value``, ``n`` (values in the group) and
-    ``rank_error`` (0, the order statistics are exact).
+    """Percentiles of each group: columns groups, ``fraction``, ``value``, ``n`` (values in the group),
+    ``rank_error`` (0, the order statistics are exact) and the order statistics ``lower`` and ``upper`` that the value lies between.
 
     The percentile p of n sorted values is the linear interpolation at position (n-1)*p, as in SQL's
-    PERCENTILE_CONT; with ``method="nearest"`` it is the value at the nearest position, halves upwards. Groups without a number give no rows. Fractions must lie in 0 to 1.
+    PERCENTILE_CONT, a double; with ``method="nearest"`` it is the value at the nearest position, halves upwards, of the values' type. Groups without a number give no rows. Fractions must lie in 0 to 1.
     """
     if any(not 0 <= p <= 1 for p in fractions):
         raise ValueError("fractions must lie between 0 and 1")
@@ -90,9 +90,10 @@ def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[f
     share = (F.first("total") - 1) * F.col("fraction")
     under, over = F.min_by("value", "rank"), F.max_by("value", "rank")
     # The nearest value is taken as it is: between two infinite ones the difference is NaN.
-    between = under if method == "nearest" else under + (over - under) * (share - F.floor(share))
+    real = lambda x: x.cast("double")
+    between = under if method == "nearest" else F.when(under == over, real(under)).otherwise(real(under) + (real(over) - real(under)) * (share - F.floor(share)))
     return (
         hits.groupBy("gid", *groups, "fraction")
-        .agg(between.alias("value"), F.first("total").alias("n"))
-        .select(*groups, "fraction", "value", "n", F.lit(0).cast("bigint").alias("rank_error"))
+        .agg(between.alias("value"), F.first("total").alias("n"), under.alias("lower"), over.alias("upper"))
+        .select(*groups, "fraction", "value", "n", F.lit(0).cast("bigint").alias("rank_error"), "lower", "upper")
     )

@@ -75,29 +75,44 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unify(lines, kinds, stage(drift.changes(lines, kinds)))
 
 
-def _run_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """team, job_id, day, metric, value of every run, each run once."""
+MEASURES = ["duration_ms", "bytes_written"]
+
+
+def _day_partials(spark: SparkSession, sf_dir: str, groups: list[str]) -> dict[str, DataFrame]:
+    """The stored day-wise partial results of each measure, each run taken once."""
     runs = table(spark, sf_dir, "job_runs_sample").select(
         "run_id", "received_at", "job_id", F.col("settings.tags.team").alias("team"),
         F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("created_time") / 86_400_000).cast("int")).alias("day"),
-        F.col("metrics.duration_ms").alias("duration_ms"), F.col("metrics.bytes_written").cast("double").alias("bytes_written"),
+        F.col("metrics.duration_ms").alias("duration_ms"), F.col("metrics.bytes_written").alias("bytes_written"),
     )
-    once = best_per_key(runs, ["run_id"], ["team", "job_id", "day", "duration_ms", "bytes_written"], [F.col("received_at")])
-    return once.select("team", "job_id", "day", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("duration_ms", "bytes_written")])))
+    once = stage(best_per_key(runs, ["run_id"], ["team", "job_id", "day", *MEASURES], [F.col("received_at")]))
+    return {m: stage(value_counts(once, groups, "day", m)) for m in MEASURES}
+
+
+def _percentiles(partials: dict[str, DataFrame], groups: list[str]) -> DataFrame:
+    parts = [percentiles(combine(p), groups, PERCENTILES).withColumn("metric", F.lit(m)) for m, p in partials.items()]
+    cols = [*groups, "metric", "fraction", F.round("value", 3).alias("value"), "n", "rank_error"]
+    return reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
 
 
 def p3_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles of run time and bytes written per team and job, combined from day-wise value counts."""
-    groups = ["team", "job_id", "metric"]
-    out = percentiles(combine(value_counts(_run_measures(spark, sf_dir), groups, "day", "value")), groups, PERCENTILES)
-    return out.select(*groups, "fraction", F.round("value", 3).alias("value"), "n", "rank_error")
+    """Exact percentiles of run time and bytes written per team and job, combined from stored day-wise value counts."""
+    return _percentiles(_day_partials(spark, sf_dir, ["team", "job_id"]), ["team", "job_id"])
 
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles of run time and bytes written per team, combined from day-wise value counts."""
-    groups = ["team", "metric"]
-    out = percentiles(combine(value_counts(_run_measures(spark, sf_dir), groups, "day", "value")), groups, PERCENTILES)
-    return out.select(*groups, "fraction", F.round("value", 3).alias("value"), "n", "rank_error")
+    """Exact percentiles of run time and bytes written per team, combined from stored day-wise value counts."""
+    return _percentiles(_day_partials(spark, sf_dir, ["team"]), ["team"])
+
+
+def p3_two_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of each measure's last 14 days: the stored results of these days asked again, two weeks stored apart and combined."""
+    out = []
+    for m, stored in _day_partials(spark, sf_dir, ["team"]).items():
+        last = stored.agg(F.max("part")).first()[0]
+        week = lambda k: stored.filter(F.datediff(F.lit(last), "part").between(7 * k, 7 * k + 6))  # noqa: B023, E731
+        out.append(_percentiles({m: combine(stage(week(0)), stage(week(1)))}, ["team"]))
+    return reduce(DataFrame.unionByName, out)
 
 
 PEOPLE = ["id", "name", "score", "active", "grp", "badge"]
@@ -153,4 +168,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "table_name", "row_id", "checkpoint_token")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p1_whole_variants, p1_error_subtypes, p2_found, p2_unified, p3_by_job, p3_percentiles, p4_found, p4_profiles, p4_conformity, p5_found, p6_found, p6_people, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p1_whole_variants, p1_error_subtypes, p2_found, p2_unified, p3_by_job, p3_percentiles, p3_two_weeks, p4_found, p4_profiles, p4_conformity, p5_found, p6_found, p6_people, p7_found)}

@@ -12,6 +12,9 @@ ORACLE = {
     "p1_attempts": f"WITH once AS ({_ONCE}), t AS (SELECT run_id,unnest(tasks) AS t,unnest(range(len(tasks))) AS p FROM once), a AS (SELECT run_id,p,t.task_key AS task_key,unnest(t.attempts) AS a,unnest(range(len(t.attempts))) AS q FROM t WHERE t IS NOT NULL) SELECT run_id,CAST(p AS INTEGER) AS task_pos,task_key,CAST(q AS INTEGER) AS attempt_pos,a.attempt_no AS attempt_no,a.duration_ms AS duration_ms,a.success AS success FROM a WHERE a IS NOT NULL",
     "p3_percentiles": _MEASURES.format(g="team,metric") + _PERCENTILES.format(g="team,metric"),
     "p3_by_job": _MEASURES.format(g="team,job_id,metric") + _PERCENTILES.format(g="team,job_id,metric"),
+    "p3_two_weeks": _MEASURES.replace("'duration_ms' AS metric,", "'duration_ms' AS metric,created_time//86400000 AS day,").replace("'bytes_written',", "'bytes_written',created_time//86400000,").replace(
+        "FROM m WHERE v IS NOT NULL AND isfinite(v))", "FROM m WHERE v IS NOT NULL AND isfinite(v) QUALIFY max(day) OVER (PARTITION BY metric)-day<14)"
+    ).format(g="team,metric") + _PERCENTILES.format(g="team,metric"),
     "p4_profiles": " UNION ALL ".join(
         f"SELECT site,load_no,'{c}' AS column_name,count(*) AS row_count,count(*)-count({c}) AS null_count,count(DISTINCT {c}) AS distinct_count,"
         + (f"round(CAST(min({c}) AS DOUBLE),4) AS min_value,round(CAST(max({c}) AS DOUBLE),4) AS max_value,round(avg({c}),4) AS mean_value" if c in ("id", "score") else "CAST(NULL AS DOUBLE) AS min_value,CAST(NULL AS DOUBLE) AS max_value,CAST(NULL AS DOUBLE) AS mean_value")

@@ -34,13 +34,15 @@ FORMATS = {"csv": "csv", "json": "json", "ndjson": "json", "parquet": "parquet",
 @dataclass(frozen=True)
 class IngestOptions:
     """``format`` overrides the extension; ``sheets`` chooses sheets of a workbook; ``mode`` is strict or lossy;
-    failures at or above ``alert_at_or_above`` also alert the observer."""
+    failures at or above ``alert_at_or_above`` also alert the observer. ``multi_line``: quoted CSV cells may hold line breaks, so a
+    file is read by one task; without it large files are split."""
 
     format: str | None = None
     sheets: str | list[str] | None = None
     observer: Observer | None = None
     alert_at_or_above: IngestSeverity = IngestSeverity.CRITICAL
     mode: str = "strict"
+    multi_line: bool = True
 
     @classmethod
     def of(cls, spec: "IngestOptions | dict | None") -> "IngestOptions":
@@ -52,7 +54,7 @@ class IngestOptions:
             sheets = {"first": None, "all": "all"}.get(sheets["mode"], sheets.get("name", sheets.get("names")))
         return cls(
             spec.get("format"), sheets, CallbackObserver(observer) if isinstance(observer, dict) else observer,
-            IngestSeverity.parse(spec.get("alert_at_or_above", "critical")), spec.get("mode", "strict"),
+            IngestSeverity.parse(spec.get("alert_at_or_above", "critical")), spec.get("mode", "strict"), bool(spec.get("multi_line", True)),
         )
 
     def with_(self, **changes: Any) -> "IngestOptions":
@@ -120,15 +122,15 @@ def _present(have: Sequence[str], schema: Schema) -> None:
 # Formats
 
 
-def _csv_text(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', enforceSchema=False)
+def _csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', enforceSchema=False)
     return df.select(*[col(c).alias(c.strip().lstrip("﻿")) for c in df.columns])
 
 
 def read_csv(spark: SparkSession, path: str, schema: Schema, options: IngestOptions) -> DataFrame:
     """A header is required; columns are found by name, others are ignored. Row numbers of errors count the header as 1."""
     with translated(path):
-        raw = _csv_text(spark, path)
+        raw = _csv_text(spark, path, options.multi_line)
         _present(raw.columns, schema)
         return _typed(raw.select(*[col(n) for n in schema.names]), schema, options.mode)
 
@@ -244,8 +246,8 @@ def _excel_cell(row: int, f: Field, value: Any, mode: str) -> Any:
         out = value if isinstance(value, bool) else True if word in TRUE_WORDS else False if word in FALSE_WORDS else None
     elif not isinstance(value, bool):
         try:
-            x = float(value)
-            out = x if f.data_type is DataType.FLOAT64 else int(x) if x.is_integer() else None
+            x = value if isinstance(value, int) else float(value)
+            out = float(x) if f.data_type is DataType.FLOAT64 else int(x) if isinstance(x, int) or x.is_integer() else None
         except ValueError:
             out = None
     if out is None and mode == "strict":
@@ -306,7 +308,7 @@ def infer_schema(spark: SparkSession, path: str, options: IngestOptions | dict |
             df = spark.read.json(path, multiLine=not path.lower().endswith(".ndjson"))
             return schema_of(df, strict=False)
         if kind == "csv":
-            raw = _csv_text(spark, path)
+            raw = _csv_text(spark, path, o.multi_line)
             # One scan decides all columns: what share of the cells reads as which type.
             fits = [
                 F.coalesce(F.min((parsed(col(c), t).isNotNull() | (F.trim(F.coalesce(col(c), F.lit(""))) == "")).cast("int")), F.lit(0)).alias(f"{i}_{t.value}")

@@ -82,7 +82,8 @@ class Workbook:
             return v
         if kind == "b":
             return v == "1"
-        x = float(v)
+        # Whole numbers stay as they are written; doubles do not hold all of them.
+        x = int(v) if re.fullmatch(r"-?\d{1,18}", v) else float(v)
         if int(c.get("s", 0)) in self.dates:
             return (datetime(1899, 12, 30) + timedelta(days=x)).isoformat(sep=" ")
         return x
@@ -133,8 +134,8 @@ def infer_type(values) -> str:
             continue
         if isinstance(v, bool):
             seen.add("bool")
-        elif isinstance(v, float):
-            seen.add("int64" if v.is_integer() else "float64")
+        elif isinstance(v, int | float):
+            seen.add("int64" if isinstance(v, int) or v.is_integer() else "float64")
         else:
             seen.add("utf8")
     if seen == {"int64", "float64"}:

@@ -35,7 +35,7 @@ def follow_changes(events: DataFrame, state_path: str, checkpoint: str) -> Strea
     """Keep the current rows of every table from a stream of change events, in any order of arrival.
 
     A micro-batch is merged into the state of the batch before it and written under its own number, so a repeated batch
-    rewrites its own. What is moved is bounded by the rows of the tables and the batch, not by the feed's history.
+    rewrites its own; the state before it is kept, older ones are removed. What is moved is bounded by the rows of the tables and the batch, not by the feed's history.
     The query ends with the data that is there.
     """
     spark = events.sparkSession
@@ -45,6 +45,9 @@ def follow_changes(events: DataFrame, state_path: str, checkpoint: str) -> Strea
         rows.write.mode("overwrite").parquet(f"{state_path}/{number}/rows")
         cuts.write.mode("overwrite").parquet(f"{state_path}/{number}/cuts")
         batch.unpersist()
+        # A restart repeats at most this batch, from the state before it; older states are not needed.
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/{number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from strataline.common import stage
 from strataline.operators.percentiles import combine, percentiles, value_counts
 
 
@@ -39,3 +40,18 @@ def test_non_numbers_empty_groups_and_extra_columns(spark):
     assert percentiles(value_counts(df.limit(0), ["g"], "day", "v"), ["g"], [0.5]).count() == 0
     with pytest.raises(ValueError):
         percentiles(value_counts(df, ["g"], "day", "v"), ["g"], [1.5])
+
+
+def test_integers_beyond_doubles_are_exact(spark):
+    df = spark.range(0, 101).selectExpr("'g' as g", "'d' as d", "9007199254740992 + id as v")
+    (r,) = percentiles(value_counts(df, ["g"], "d", "v"), ["g"], [0.5]).collect()
+    assert (r["lower"], r["upper"], r["n"]) == (2**53 + 50, 2**53 + 50, 101)
+    got = percentiles(value_counts(df, ["g"], "d", "v"), ["g"], [0.0, 0.25, 1.0], method="nearest").orderBy("fraction").collect()
+    assert [x["value"] for x in got] == [2**53, 2**53 + 25, 2**53 + 100]
+
+
+def test_a_group_of_a_third_of_all_values_from_stored_days(spark):
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 'hot', concat('t', id % 50)) as g", "id % 7 as d", "cast((id * 7919) % 30011 as double) as v")
+    days = [stage(value_counts(df.filter(f"d = {d}"), ["g"], "d", "v")) for d in range(7)]
+    got = {r["g"]: r["value"] for r in percentiles(combine(*days), ["g"], [0.5]).collect()}
+    assert got == {g: float(p["v"].median()) for g, p in df.toPandas().groupby("g")}
