@@ -222,6 +222,14 @@ class ItemIndex:
             found.update(zip(owner[starts[at]].tolist(), item.tolist(), strict=True))
         return found
 
+    def present(self, ids: np.ndarray) -> np.ndarray:
+        """Which item words stand somewhere among these words, one edit in a word allowed."""
+        out, known, once = np.zeros(len(self.number), bool), self.vocabulary, np.unique(ids)
+        out[known.exact[once[known.known[once]]]] = True
+        for k in once[known.has_near[once]].tolist():
+            out[list(known.near[k])] = True
+        return out
+
     def same(self, item: int, ids: np.ndarray) -> np.ndarray:
         """Which of the item's words (rows) equal these words (columns), one edit in a word allowed."""
         a, known = self.words[item], self.vocabulary
@@ -280,12 +288,15 @@ class ItemIndex:
             todo.clear()
             pairs.clear()
 
+        last, present = -1, np.zeros(0, bool)
         for d, item in sorted(spots):
-            m = len(self.words[item])
-            # Slices overlap by more than a stretch can reach.
-            parts = [self.same(item, ids[d][at : at + SLICE + 4 * m]) for at in range(0, len(ids[d]), SLICE)]
+            if d != last:
+                last, present = d, self.present(ids[d])
             # Words that stand nowhere cannot be found.
-            if np.any([x.any(axis=1) for x in parts], axis=0).mean() >= share:
+            if present[self.words[item]].mean() >= share:
+                # Slices overlap by more than a stretch can reach.
+                reach = SLICE + 4 * len(self.words[item])
+                parts = [self.same(item, ids[d][at : at + reach]) for at in range(0, len(ids[d]), SLICE)]
                 todo += [(item, x) for x in parts]
                 pairs += [(d, item)] * len(parts)
                 cells += sum(x.size for x in parts)
