@@ -52,6 +52,13 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{_STAGE_ROOTS[app][1]}/{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Remove all tables staged so far in this session; for jobs that have written their results. Frames that still read one fail."""
+    held = _STAGE_ROOTS.pop(spark.sparkContext.applicationId, None)
+    if held:
+        _remove(*held)
+
+
 def stage(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 

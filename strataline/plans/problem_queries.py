@@ -68,6 +68,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(lines, stage(drift.profile(lines))).select("feed", "file_no", "change_kind", "field_path", "new_path")
 
 
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each field of each file holds each JSON kind."""
+    kinds = drift.profile(table(spark, sf_dir, "job_run_files")).filter("path <> ''")
+    return kinds.select("feed", "file_no", "path", F.substring("feature", 3, 20).alias("kind"), "n")
+
+
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files as one table, fields under their first names."""
     lines = table(spark, sf_dir, "job_run_files")
@@ -75,6 +81,14 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unify(lines, kinds, stage(drift.changes(lines, kinds)))
 
 
+def p2_unified_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and cells that are not null of each file in the one table: nothing of a file is lost in it."""
+    out = p2_unified(spark, sf_dir)
+    cells = [F.col(f"`{c}`").isNotNull().cast("int") for c in out.columns if c not in ("feed", "file_no", "line_no")]
+    held = F.aggregate(F.array(*cells), F.lit(0), lambda a, b: a + b) if cells else F.lit(0)
+    return out.groupBy("feed", "file_no").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(held.cast("bigint")).alias("n_cells"))
+
+
 MEASURES = ["duration_ms", "bytes_written"]
 
 
@@ -168,4 +182,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "table_name", "row_id", "checkpoint_token")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p1_whole_variants, p1_error_subtypes, p2_found, p2_unified, p3_by_job, p3_percentiles, p3_two_weeks, p4_found, p4_profiles, p4_conformity, p5_found, p6_found, p6_people, p7_found)}
+def p7_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with their images, and rows from before the feed: those of region, a table that no event touches."""
+    base = table(spark, sf_dir, "region").select(
+        F.lit("before").alias("source"), F.lit("region").alias("table_name"), F.col("r_regionkey").cast("bigint").alias("row_id"), F.lit("0").alias("checkpoint_token"), F.create_map(F.lit("name"), "r_name").alias("image")
+    )
+    rows = apply_changes(table(spark, sf_dir, "cdc_event"), base)
+    fields = F.array_sort(F.transform(F.map_entries("image"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))))
+    return rows.select("source", "table_name", "row_id", "checkpoint_token", F.array_join(fields, ";").alias("image"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_tasks, p1_attempts, p1_variants, p1_whole_variants, p1_error_subtypes, p2_found, p2_kinds, p2_unified, p2_unified_cells, p3_by_job, p3_percentiles, p3_two_weeks, p4_found, p4_profiles, p4_conformity, p5_found, p6_found, p6_people, p7_found, p7_rows)}

@@ -1,5 +1,7 @@
 """SQL for the pN_ queries that SQL can express."""
 
+from strataline.sources.bad_rows import EDGE
+
 _ONCE = "SELECT * FROM (SELECT *,row_number() OVER (PARTITION BY run_id ORDER BY (CASE WHEN coalesce(len(tasks),0)>0 THEN 1 ELSE 0 END) DESC,received_at DESC) AS rn FROM job_runs_sample) WHERE rn=1"
 
 _MEASURES = f"WITH once AS ({_ONCE}), m AS (SELECT settings.tags.team AS team,job_id,'duration_ms' AS metric,metrics.duration_ms AS v FROM once UNION ALL SELECT settings.tags.team,job_id,'bytes_written',CAST(metrics.bytes_written AS DOUBLE) FROM once), c AS (SELECT * FROM m WHERE v IS NOT NULL AND isfinite(v)), f AS (SELECT unnest([0.01,0.05,0.25,0.5,0.75,0.9,0.95,0.99])::DOUBLE AS fraction), r AS (SELECT *,row_number() OVER (PARTITION BY {{g}} ORDER BY v)-1 AS i,count(*) OVER (PARTITION BY {{g}}) AS n FROM c) "
@@ -75,3 +77,65 @@ ORACLE["p1_variants"] = _LEVELS + " UNION ALL ".join(
     )
 )
 ORACLE["p1_error_subtypes"] = _LEVELS + f"SELECT {_shape('e', _ERROR)} AS shape,concat_ws(',','run_id,task_pos,task_key,attempt_pos,attempt_no,error_pos',CASE WHEN e.code IS NOT NULL THEN 'code' END,CASE WHEN e.message IS NOT NULL THEN 'message' END) AS columns,count(*) AS n FROM e WHERE e IS NOT NULL GROUP BY ALL"
+
+# Problem 6: the same grammar of cells as one regular expression; each cell is a capture of the line.
+_EDGE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in EDGE) + "]"
+_QUOTED_CELL = f'{_EDGE}*"(?:[^"]|"")*"{_EDGE}*'
+_RAW_CELL = f'(?:{_QUOTED_CELL}|[^",]*)'
+_PARSED = f"""
+WITH t AS (SELECT file_no,line_no,regexp_replace(regexp_replace(coalesce(raw_line,''),'^{_EDGE}+',''),'{_EDGE}+$','') AS x FROM people_raw),
+h AS (SELECT file_no,list_transform(string_split(x,','),lambda c: lower(regexp_replace(c,'^{_EDGE}+|{_EDGE}+$','','g'))) AS names FROM t WHERE line_no=1),
+r AS (SELECT t.*,coalesce(h.names,['id','name','score','active']) AS names,regexp_extract_all(','||x,',({_RAW_CELL})',1) AS raw FROM t LEFT JOIN h USING (file_no) WHERE line_no<>1 AND x<>''),
+c AS (SELECT *,list_transform(raw,lambda v: regexp_replace(CASE WHEN regexp_full_match(v,'{_EDGE}*".*"{_EDGE}*','s') THEN replace(regexp_extract(v,'"((?s:.*))"',1),'""','"') ELSE v END,'^{_EDGE}+|{_EDGE}+$','','g')) AS cells FROM r),
+f AS (SELECT *,nullif(cells[list_position(names,'id')],'') AS id,nullif(cells[list_position(names,'name')],'') AS name,nullif(cells[list_position(names,'score')],'') AS score,lower(nullif(cells[list_position(names,'active')],'')) AS active FROM c),
+p AS (SELECT *,CASE WHEN NOT regexp_full_match(x,'{_RAW_CELL}(?:,{_RAW_CELL})*') THEN 'quoting' WHEN len(cells)<>len(names) THEN 'column_count'
+WHEN id IS NOT NULL AND (NOT regexp_full_match(id,'[+-]?[0-9]+') OR TRY_CAST(id AS BIGINT) IS NULL) THEN 'bad_id' WHEN score IS NOT NULL AND NOT regexp_full_match(score,'[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'bad_score'
+WHEN active IS NOT NULL AND active NOT IN ('true','t','1','yes','y','false','f','0','no','n') THEN 'bad_active' END AS reason FROM f)
+"""
+ORACLE["p6_found"] = _PARSED + "SELECT file_no,line_no,reason FROM p WHERE reason IS NOT NULL"
+ORACLE["p6_people"] = _PARSED + "SELECT file_no,line_no,CAST(id AS BIGINT) AS id,name,CAST(score AS DOUBLE) AS score,active IN ('true','t','1','yes','y') AS active FROM p WHERE reason IS NULL"
+
+# Problem 7 with images, and rows from before the feed appended.
+_IMAGE = "array_to_string(list_sort(list_transform(img,lambda x: x.field_name||'='||coalesce(x.field_value,'null'))),';')"
+ORACLE["p7_rows"] = (
+    ORACLE["p7_found"].replace('AS a FROM cdc_event', 'AS a,before AS bi,"after" AS ai FROM cdc_event')
+    .replace("coalesce(a,b) AS id,1 AS w FROM", "coalesce(a,b) AS id,1 AS w,CASE WHEN op='insert' OR a<>b THEN ai ELSE coalesce(ai,bi) END AS img FROM")
+    .replace("coalesce(b,a),0 FROM", "coalesce(b,a),0,NULL FROM").replace("id AS row_id,k AS checkpoint_token FROM l", f"id AS row_id,k AS checkpoint_token,{_IMAGE} AS image FROM l")
+    .replace("s,t,o,k,b,0 FROM o", "s,t,o,k,b,0,NULL FROM o")
+    + " UNION ALL SELECT 'before','region',CAST(r_regionkey AS BIGINT),'0','name='||r_name FROM region"
+)
+
+# Problem 2: keys of objects, arrays not entered.
+_KEYS = "json_valid(payload) AND json_type(payload)='OBJECT' AND t.fullkey<>'$' AND t.fullkey NOT LIKE '%[%'"
+ORACLE["p2_kinds"] = f"""
+SELECT feed,file_no,replace(substr(t.fullkey,3),'"','') AS path,CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,count(*) AS n
+FROM job_run_files,json_tree(payload) t WHERE {_KEYS} GROUP BY ALL
+"""
+ORACLE["p2_unified_cells"] = f"""
+WITH once AS (SELECT DISTINCT feed,file_no,line_no,payload FROM job_run_files WHERE json_valid(payload) AND json_type(payload)='OBJECT'),
+k AS (SELECT feed,file_no,count(*) AS n FROM once,json_tree(payload) t WHERE {_KEYS} AND t.type<>'NULL' AND (t.type<>'OBJECT' OR t.value='{{}}') GROUP BY ALL)
+SELECT feed,file_no,count(*) AS n_rows,CAST(coalesce(any_value(k.n),0) AS BIGINT) AS n_cells FROM once LEFT JOIN k USING (feed,file_no) GROUP BY ALL
+"""
+
+# Problem 4: shapes and their merging into words under the same code lengths. SQL's regular expressions have no back-references, so
+# expressions of repeated words are left out; none is the shortest on these data.
+_RUNS = "length(regexp_replace({0},'[^Aa9w]','','g'))"
+
+
+def _own(code: str, alphabet: int, pieces: str) -> str:
+    return f"digits*log2(10)+letters*log2({alphabet})+log2(longest-shortest+1)*{pieces}+n*log2(total/n)+length({code})*log2(96)+{_RUNS.format(code)}*12+16"
+
+
+ORACLE["p4_conformity"] = rf"""
+WITH v AS (SELECT site,load_no,'name' AS column_name,name AS value FROM people UNION ALL SELECT site,load_no,'grp',grp FROM people UNION ALL SELECT site,load_no,'badge',badge FROM people),
+k AS (SELECT *,regexp_replace(regexp_replace(regexp_replace(value,'\p{{Lu}}+','A','g'),'\p{{Ll}}+','a','g'),'[0-9]+','9','g') AS shape FROM v WHERE value IS NOT NULL),
+s AS (SELECT site,column_name,shape,regexp_replace(shape,'[Aa]+','w','g') AS words,count(*) AS n,min(length(value)) AS shortest,max(length(value)) AS longest,sum(length(value)) AS chars,sum(length(regexp_replace(value,'[^0-9]','','g'))) AS digits,sum(length(regexp_replace(value,'[^\p{{Lu}}\p{{Ll}}]','','g'))) AS letters FROM (SELECT DISTINCT site,column_name,shape,value FROM k) GROUP BY ALL),
+q AS (SELECT *,sum(n) OVER (PARTITION BY site,column_name) AS total,n*{_RUNS.format("shape")} AS pieces,n*{_RUNS.format("words")} AS word_pieces FROM s),
+c AS (SELECT *,{_own("shape", 26, "pieces")} AS own,chars*log2(96)+n*(log2(longest+1)+1) AS free FROM q),
+one AS (SELECT *,n>1 AND own<free AS kept,CASE WHEN n>1 AND own<free THEN own ELSE free END AS cost FROM c),
+two AS (SELECT site,column_name,words,total,sum(n) AS n,min(shortest) AS shortest,max(longest) AS longest,sum(digits) AS digits,sum(letters) AS letters,sum(word_pieces) AS word_pieces,sum(cost) AS apart FROM one GROUP BY ALL),
+w AS (SELECT * FROM two WHERE n>1 AND {_own("words", 52, "word_pieces")}<apart),
+x AS (SELECT one.site,one.column_name,one.shape,CASE WHEN w.words IS NOT NULL THEN w.words WHEN one.kept THEN one.shape END AS code,coalesce(w.shortest,one.shortest) AS lo,coalesce(w.longest,one.longest) AS hi FROM one LEFT JOIN w ON one.site=w.site AND one.column_name=w.column_name AND one.words=w.words),
+e AS (SELECT site,column_name,shape,'^(?=[\s\S]{{'||lo||','||hi||'}}$)'||replace(replace(replace(replace(regexp_replace(code,'([^\p{{L}}\p{{N}}\s])','\\\1','g'),'w','[\p{{Lu}}\p{{Ll}}]+'),'A','\p{{Lu}}+'),'a','\p{{Ll}}+'),'9','[0-9]+')||'$' AS expression FROM x WHERE code IS NOT NULL)
+SELECT k.site,load_no,k.column_name,count(*) AS held,count(*)-count(expression) AS nonconforming,coalesce(string_agg(DISTINCT expression,' | ' ORDER BY expression),'') AS expressions FROM k LEFT JOIN e ON k.site=e.site AND k.column_name=e.column_name AND k.shape=e.shape GROUP BY ALL
+"""

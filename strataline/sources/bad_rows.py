@@ -64,8 +64,7 @@ def _int64(text: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
 def _float(text: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     good = pc.match_substring_regex(text, r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$")
     plain = pc.replace_substring_regex(pc.if_else(good, text, None), r"^\+", "")
-    values = pa.array([None if x is None else float(x) for x in plain.to_pylist()], pa.float64())
-    return values, pc.fill_null(pc.invert(good), False).to_numpy(zero_copy_only=False)
+    return plain.cast(pa.float64()), pc.fill_null(pc.invert(good), False).to_numpy(zero_copy_only=False)
 
 
 def _bool(text: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
@@ -148,7 +147,7 @@ def parse_rows(raw: DataFrame) -> DataFrame:
     """All records of ``raw`` (file_no, line_no, raw_line) with their fields and ``reason``.
 
     Line 1 of a file is its header and orders its cells; a file without one is read as
-    id,name,score,active. Headers and blank or null lines are no records. Cells are trimmed; an empty cell
+    id,name,score,active; a field that a header lacks is null in all its rows. Headers and blank or null lines are no records. Cells are trimmed; an empty cell
     is null and valid. ``reason`` is null for valid rows, else the first of quoting, column_count, bad_id,
     bad_score, bad_active that applies, and all fields of such a row are to be ignored. Columns beside the
     three are left out. Lines of any length are parsed whole. Rows of a hot file are spread by line.
