@@ -28,7 +28,7 @@ HELD_COUNTS = 500_000
 #: Least score of a pair of fields to count as a rename.
 RENAME_SCORE = 0.25
 
-_KINDS = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
+_KINDS = {str: "k:string", bool: "k:boolean", int: "k:number", float: "k:number", list: "k:array", dict: "k:object"}
 _WORD = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
 
@@ -79,50 +79,41 @@ def features(value: object) -> list[str]:
     return []
 
 
-class _Counts:
-    """Counts per (feed, file, field, feature) that a task holds, handed on whenever they are many."""
-
-    def __init__(self) -> None:
-        self.held: dict = defaultdict(Counter)
-        self.size = 0
-
-    def add(self, feed: str, file_no: int, path: str, found: list[str]) -> None:
-        seen = self.held[feed, file_no, path]
-        self.size -= len(seen)
-        seen.update(found)
-        self.size += len(seen)
-
-    def drain(self, least: int) -> Iterator[pd.DataFrame]:
-        if self.held and self.size >= least:
-            rows = [(*unit, f, n) for unit, seen in self.held.items() for f, n in seen.items()]
-            self.held.clear()
-            self.size = 0
-            yield pd.DataFrame(rows, columns=["feed", "file_no", "path", "feature", "n"])
+def _handed_on(counts: dict[tuple, int]) -> pd.DataFrame:
+    """The counts held so far, which are then held no more."""
+    out = pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["feed", "file_no", "path", "feature", "n"])
+    counts.clear()
+    return out
 
 
 def _kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = _Counts()
+    counts: dict[tuple, int] = defaultdict(int)
     for pdf in batches:
         for feed, file_no, payload in zip(pdf["feed"], pdf["file_no"], pdf["payload"], strict=True):
             record = read_object(payload)
-            counts.add(feed, file_no, "", ["unreadable" if record is None else "objects"])
+            counts[feed, file_no, "", "unreadable" if record is None else "objects"] += 1
             for path, value in walk(record or {}):
-                counts.add(feed, file_no, path, [f"k:{_KINDS.get(type(value), 'null')}"])
-            yield from counts.drain(HELD_COUNTS)
-    yield from counts.drain(0)
+                counts[feed, file_no, path, _KINDS.get(type(value), "k:null")] += 1
+            if len(counts) >= HELD_COUNTS:
+                yield _handed_on(counts)
+    if counts:
+        yield _handed_on(counts)
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sketches of the fields that each row names in ``paths``."""
-    counts = _Counts()
+    counts: dict[tuple, int] = defaultdict(int)
     for pdf in batches:
         for feed, file_no, payload, paths in zip(pdf["feed"], pdf["file_no"], pdf["payload"], pdf["paths"], strict=True):
             wanted = set(paths)
             for path, value in walk(read_object(payload) or {}):
                 if path in wanted:
-                    counts.add(feed, file_no, path, features(value))
-            yield from counts.drain(HELD_COUNTS)
-    yield from counts.drain(0)
+                    for f in features(value):
+                        counts[feed, file_no, path, f] += 1
+            if len(counts) >= HELD_COUNTS:
+                yield _handed_on(counts)
+    if counts:
+        yield _handed_on(counts)
 
 
 ENTRIES = "feed string, file_no int, path string, feature string, n bigint"
