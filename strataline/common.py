@@ -92,7 +92,7 @@ def best_per_key(df: DataFrame, keys: list[str], payload: list[str], order: list
 
 
 #: Most bytes of a staged table, as written, that is broadcast.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 4 << 20
 
 
 def is_small(staged: DataFrame, limit: int = BROADCAST_BYTES) -> bool:

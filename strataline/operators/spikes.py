@@ -132,7 +132,7 @@ def in_periods(readings: DataFrame) -> DataFrame:
         .groupBy("source").agg(F.sum("n").alias("runs"), F.min("day").cast("bigint").alias("first"), F.ceil(F.sum("n") / F.count(F.lit(1)) / F.lit(PER_ROW)).cast("bigint").alias("parts"))
         .filter(F.col("runs") >= MIN_RUNS).select("source", "first", "parts")
     )
-    good = salted_lookup(readings.filter("ok and possible and value > 0 and source is not null"), sources, ["source"], ["id"], how="inner")
+    good = salted_lookup(readings.filter("ok and possible and value > 0 and source is not null and at is not null"), sources, ["source"], ["id"], how="inner")
     return good.select("source", "id", "value", F.floor((F.col("at") - F.col("first") * DAY) * F.col("parts") / F.lit(DAY)).cast("bigint").alias("period"))
 
 
@@ -195,7 +195,7 @@ def implausible(readings: DataFrame) -> DataFrame:
 
     ``readings``: source, id (unique), at (ms), value, ok (successful), most (greatest possible value).
     Impossible: negative, NaN or infinite, 0 though successful, or above ``most``. Null readings are no
-    cases and are skipped; rows without a source are tested for impossible values only; a null ``ok`` is not successful; sources with fewer than MIN_RUNS readings have no
+    cases and are skipped; rows without a source are tested for impossible values only, those without a time not for spikes; a null ``ok`` is not successful; sources with fewer than MIN_RUNS readings have no
     spikes. Empty input gives no rows.
     """
     v = F.col("value")

@@ -89,6 +89,12 @@ def test_null_sources_are_tested_for_impossible_values_only(spark):
     assert found(spark, rows) == {(3, "impossible")}
 
 
+def test_readings_without_a_time_are_no_spikes(spark):
+    base = noisy(9)
+    rows = series(1, 120, lambda i: 40_000.0 if i == 77 else base(i)) + [(1, 5, None, 50_000.0, True, None), (1, 6, None, -1.0, True, None)]
+    assert found(spark, rows) == {(100_077, "spike"), (6, "impossible")}
+
+
 def test_one_hot_source(spark):
     base = noisy(5)
     rows = series(1, 6000, lambda i: base(i) * (6 if i == 4321 else 1), per_day=200) + series(2, 60, noisy(6))
