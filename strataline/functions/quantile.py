@@ -47,13 +47,20 @@ def _within(df: DataFrame, b: _Bracket):
 
 def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     """One pass of sketches over what is in each bracket, one pass of counts."""
-    wanted = []
+    # Brackets of one column that are still the same range share a sketch.
+    ranges: dict[tuple, list[int]] = {}
     for i, b in enumerate(brackets):
-        at = (b.rank - b.below) / max(1, b.inside - 1)
-        around = [min(1.0, max(0.0, at + d)) for d in (-4 / ACCURACY, 4 / ACCURACY)]
-        wanted.append(F.percentile_approx(F.when(_within(df, b), _real(df, b.column)), F.array(*map(F.lit, around)), F.lit(ACCURACY)).alias(f"b{i}"))
-    ends = df.agg(*wanted).first()
-    tried = [_Bracket(b.column, b.fraction, b.rank, *ends[f"b{i}"]) for i, b in enumerate(brackets)]
+        ranges.setdefault((b.column, b.lo, b.hi), []).append(i)
+    wanted = []
+    for k, members in enumerate(ranges.values()):
+        b = brackets[members[0]]
+        at = [(brackets[i].rank - b.below) / max(1, b.inside - 1) for i in members]
+        around = [min(1.0, max(0.0, x + d)) for x in at for d in (-4 / ACCURACY, 4 / ACCURACY)]
+        x = _real(df, b.column) if (b.lo, b.hi) == (-math.inf, math.inf) else F.when(_within(df, b), _real(df, b.column))
+        wanted.append(F.percentile_approx(x, F.array(*map(F.lit, around)), F.lit(ACCURACY)).alias(f"r{k}"))
+    found = df.agg(*wanted).first()
+    ends = {i: found[f"r{k}"][2 * j : 2 * j + 2] for k, members in enumerate(ranges.values()) for j, i in enumerate(members)}
+    tried = [_Bracket(b.column, b.fraction, b.rank, *ends[i]) for i, b in enumerate(brackets)]
     counts = df.agg(
         *[F.count_if(_real(df, t.column) < F.lit(t.lo)).alias(f"l{i}") for i, t in enumerate(tried)], *[F.count_if(_within(df, t)).alias(f"n{i}") for i, t in enumerate(tried)]
     ).first()
@@ -97,7 +104,8 @@ def order_statistics(df: DataFrame, columns: Sequence[str], fractions: Sequence[
         F.struct(F.lit(i).alias("i"), F.when(_within(df, b), col(b.column).cast(own)).alias("value"))
         for i, b in enumerate(brackets)
     ]
-    near = df.select(F.inline(F.array(*cells))).filter("value is not null").groupBy("i", "value").agg(F.count(F.lit(1)).alias("m"))
+    inside = F.filter(F.array(*cells), lambda c: c["value"].isNotNull())
+    near = df.select(F.inline(inside)).groupBy("i", "value").agg(F.count(F.lit(1)).alias("m"))
     upto = F.sum("m").over(Window.partitionBy("i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     places = df.sparkSession.createDataFrame([(i, b.column, b.fraction, b.rank, b.below, totals[b.column]) for i, b in enumerate(brackets)], "i int, column string, fraction double, rank bigint, below bigint, n bigint")
     hits = near.withColumn("upto", upto).join(F.broadcast(places), "i").filter("rank - below < upto and rank - below >= upto - m")
