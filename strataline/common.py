@@ -91,6 +91,15 @@ def best_per_key(df: DataFrame, keys: list[str], payload: list[str], order: list
     return picked.select(*keys, "__best.*")
 
 
+def sort_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join that sorts both sides and is never broadcast.
+
+    The planner takes compressed files for a table's size and does not count the rows that exploding adds, so what it
+    broadcasts through the driver may be many times its threshold. For sides that grow with the input.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
 #: Most bytes of a staged table, as written, that is broadcast.
 BROADCAST_BYTES = 4 << 20
 

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataline.common import running_total, stage
+from strataline.common import running_total, sort_join, stage
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], part: str, value: str) -> DataFrame:
@@ -69,8 +69,7 @@ def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[f
     tagged = ordered.withColumn("gid", gid)
     # One row per (partition, group): partitions + groups rows at most, whatever the number of values.
     counts = stage(ordered.groupBy(*groups, "pid").agg(F.sum("n").alias("held")).withColumn("gid", gid))
-    totals = counts.groupBy("gid").agg(F.sum("held").alias("total"))
-    offsets = running_total(counts, ["gid"], ["pid"], "held", "offset").join(totals, "gid")
+    offsets = running_total(counts, ["gid"], ["pid"], "held", "offset").withColumn("total", F.sum("held").over(Window.partitionBy("gid")))
     wanted = offsets.withColumn("fraction", F.explode(F.array(*[F.lit(float(p)) for p in fractions])))
     at = (F.col("total") - 1) * F.col("fraction")
     ranks = F.array(F.floor(at + 0.5)) if method == "nearest" else F.array_distinct(F.array(F.floor(at), F.ceil(at)))
@@ -80,12 +79,12 @@ def percentiles(partial: DataFrame, groups: Sequence[str], fractions: Sequence[f
     # Only partitions holding a wanted position are scanned again; a (partition, group) slice is bounded by
     # the partition's size.
     slices = wanted.select("gid", "pid", "offset").distinct()
-    near = running_total(tagged.select("gid", "pid", "pos", "value", "n").join(slices, ["gid", "pid"]), ["gid", "pid"], ["pos"], "n", "before")
+    # Positions and slices are as many as groups, so they are never broadcast.
+    near = running_total(sort_join(tagged.select("gid", "pid", "pos", "value", "n"), slices, ["gid", "pid"]), ["gid", "pid"], ["pos"], "n", "before")
     low = F.col("offset") + F.col("before")
-    hits = (
-        wanted.select("gid", "pid", *groups, "total", "fraction", "rank")
-        .join(near.select("gid", "pid", low.alias("low"), (low + F.col("n")).alias("high"), "value"), ["gid", "pid"])
-        .filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    spans = near.select("gid", "pid", low.alias("low"), (low + F.col("n")).alias("high"), "value")
+    hits = sort_join(wanted.select("gid", "pid", *groups, "total", "fraction", "rank"), spans, ["gid", "pid"]).filter(
+        (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     )
     share = (F.first("total") - 1) * F.col("fraction")
     under, over = F.min_by("value", "rank"), F.max_by("value", "rank")

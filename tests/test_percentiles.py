@@ -55,3 +55,11 @@ def test_a_group_of_a_third_of_all_values_from_stored_days(spark):
     days = [stage(value_counts(df.filter(f"d = {d}"), ["g"], "d", "v")) for d in range(7)]
     got = {r["g"]: r["value"] for r in percentiles(combine(*days), ["g"], [0.5]).collect()}
     assert got == {g: float(p["v"].median()) for g, p in df.toPandas().groupby("g")}
+
+
+def test_nothing_of_the_size_of_the_groups_is_broadcast(spark):
+    df = spark.range(2000).selectExpr("id % 500 as g", "0 as d", "cast(id as double) as v")
+    out = percentiles(stage(value_counts(df, ["g"], "d", "v")), ["g"], [0.25, 0.5])
+    assert out.count() == 1000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
