@@ -100,26 +100,30 @@ def sort_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(right.hint("merge"), keys, how)
 
 
-#: Most bytes of a staged table, as written, that is broadcast.
-BROADCAST_BYTES = 4 << 20
+#: Most bytes of a staged table, as written and as rows in memory, that is broadcast; bytes of a row besides its text.
+BROADCAST_BYTES, ROW_BYTES = 4 << 20, 64
 
 
 def is_small(staged: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a staged (or other file) table is known to be small: the size of its files, not a guess at its rows."""
-    return int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+    """Whether a staged (or other file) table is known to be small: the size of its files, and of its rows too, because files
+    of values that repeat are a small part of them."""
+    if int(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > limit:
+        return False
+    held = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in staged.columns]))) + F.lit(ROW_BYTES)
+    return (staged.agg(F.sum(held)).first()[0] or 0) <= limit
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], salt_by: list[str], salts: int = 16, how: str = "left") -> DataFrame:
     """Join of ``rows`` with a much smaller ``lookup`` (unique in ``keys``), safe for hot keys; ``how``: left or inner.
 
-    A lookup whose files are small is broadcast. Otherwise rows of one key are spread over ``salts`` groups by the hash of
+    A lookup that is small, written and in memory, is broadcast. Otherwise rows of one key are spread over ``salts`` groups by the hash of
     ``salt_by`` and the lookup is repeated once per salt.
     """
     if is_small(lookup):
         return rows.join(F.broadcast(lookup), keys, how)
     spread = rows.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return spread.join(copies, [*keys, "__salt"], how).drop("__salt")
+    return sort_join(spread, copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:

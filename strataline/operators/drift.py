@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.common import salted_lookup, stage
+from strataline.common import salted_lookup, sort_join, stage
 
 #: Counts held in a task before they are handed on; they are added up afterwards.
 HELD_COUNTS = 500_000
@@ -305,11 +305,11 @@ def _with_shared_tokens(detail: DataFrame) -> DataFrame:
     is_token = F.col("feature").startswith("t:")
     tokens = detail.filter(is_token)
     totals = tokens.groupBy(*unit).agg(F.sum("n").alias("n"))
-    parts = tokens.join(totals.withColumnRenamed("n", "total"), unit).select(*unit, "feature", (F.col("n") / F.col("total")).alias("part"))
+    parts = sort_join(tokens, totals.withColumnRenamed("n", "total"), unit).select(*unit, "feature", (F.col("n") / F.col("total")).alias("part"))
     old = parts.filter("change_kind = 'removed'").select("feed", "file_no", "feature", "field_path", F.col("part").alias("old"))
     new = parts.filter("change_kind = 'added'").select("feed", "file_no", "feature", F.col("field_path").alias("new_path"), F.col("part").alias("new"))
     # Rounded, so that the order of adding up changes nothing.
-    pairs = old.join(new, ["feed", "file_no", "feature"]).groupBy("feed", "file_no", "field_path", "new_path").agg(F.round(F.sum(F.least("old", "new")), 12).alias("share"))
+    pairs = sort_join(old, new, ["feed", "file_no", "feature"]).groupBy("feed", "file_no", "field_path", "new_path").agg(F.round(F.sum(F.least("old", "new")), 12).alias("share"))
     none = F.lit(None).cast("double").alias("share")
     return (
         detail.filter(~is_token).select(*unit, "feature", "n", none)
@@ -327,8 +327,8 @@ def _outside(rows: DataFrame, covers: DataFrame) -> DataFrame:
     parts = F.split("field_path", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
     inner = rows.filter(F.size(parts) > 1).select("feed", "file_no", "field_path", F.explode(above).alias("path"))
-    hit = inner.join(covers.distinct(), ["feed", "file_no", "path"], "left_semi").select("feed", "file_no", "field_path").distinct()
-    return rows.join(hit, ["feed", "file_no", "field_path"], "left_anti")
+    hit = sort_join(inner, covers.distinct(), ["feed", "file_no", "path"], "left_semi").select("feed", "file_no", "field_path").distinct()
+    return sort_join(rows, hit, ["feed", "file_no", "field_path"], "left_anti")
 
 
 def changes(lines: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -344,10 +344,11 @@ def changes(lines: DataFrame, kinds: DataFrame) -> DataFrame:
     )
     files = kinds.select("feed", "file_no").distinct()
     fields = stage(fields)
-    follows = files.select("feed", (F.col("file_no") - 1).alias("file_no")).join(files, ["feed", "file_no"]).select("feed", (F.col("file_no") + 1).alias("file_no"))
-    before = fields.select("feed", (F.col("file_no") + 1).alias("file_no"), "path", F.lit(1).alias("old")).join(follows, ["feed", "file_no"])
-    now = fields.withColumn("new", F.lit(1)).join(follows, ["feed", "file_no"])
-    moved = before.join(now, ["feed", "file_no", "path"], "full").filter("old is null or new is null").select(
+    # All of these grow with the files, so none is broadcast.
+    follows = sort_join(files.select("feed", (F.col("file_no") - 1).alias("file_no")), files, ["feed", "file_no"]).select("feed", (F.col("file_no") + 1).alias("file_no"))
+    before = sort_join(fields.select("feed", (F.col("file_no") + 1).alias("file_no"), "path", F.lit(1).alias("old")), follows, ["feed", "file_no"])
+    now = sort_join(fields.withColumn("new", F.lit(1)), follows, ["feed", "file_no"])
+    moved = sort_join(before, now, ["feed", "file_no", "path"], "full").filter("old is null or new is null").select(
         "feed", "file_no", F.when(F.col("old").isNull(), "added").otherwise("removed").alias("change_kind"), F.col("path").alias("field_path")
     )
     w = Window.partitionBy("feed", "path").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -366,7 +367,7 @@ def changes(lines: DataFrame, kinds: DataFrame) -> DataFrame:
     wanted = sides.select("feed", F.col("at").alias("file_no"), F.col("field_path").alias("path"))
     # An entry without a feature keeps fields that hold nothing but nulls.
     entries = sketch(lines, wanted).unionByName(wanted.distinct().select("*", F.lit("k:").alias("feature"), F.lit(1).cast("bigint").alias("n")))
-    detail = sides.join(entries.select("feed", F.col("file_no").alias("at"), F.col("path").alias("field_path"), "feature", "n"), ["feed", "at", "field_path"]).drop("at")
+    detail = sort_join(sides, entries.select("feed", F.col("file_no").alias("at"), F.col("path").alias("field_path"), "feature", "n"), ["feed", "at", "field_path"]).drop("at")
     # Matching one file is little work; by a number of partitions of its own it is spread however small the table is.
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = _with_shared_tokens(stage(detail)).repartition(parts, "feed", "file_no")

@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from strataline import common
 from strataline.common import stage
+from strataline.operators import drift
 from strataline.operators.drift import _kinds, assign, changes, column_names, name_similarity, profile, sketch, to_text, unify, walk
 
 
@@ -131,3 +134,28 @@ def test_very_deep_objects(spark):
     assert sum(1 for _ in walk(json.loads(deep))) == 1500
     assert found(spark, {1: [{"x": 1}], 2: ['{"x": 1, "d": %s}' % deep]}) == [(2, "added", "d", "")]
     assert to_text([{"a": [1, "é"]}]) == '[{"a": [1, "é"]}]'
+
+
+def test_nothing_that_grows_with_the_files_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(drift, "stage", written)
+    # A lookup so small that it is broadcast on purpose would hide what the planner chooses.
+    monkeypatch.setattr(common, "is_small", lambda table: False)
+    raw = lines(spark, {1: ENV, 2: [{"mode": r["tags"]["env"], "n": str(r["n"])} for r in ENV]})
+    out = changes(raw, stage(profile(raw)))
+    assert {(r["change_kind"], r["field_path"]) for r in out.collect()} >= {("type_changed", "n")}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_lookups_of_many_rows_in_small_files_are_spread(spark):
+    lookup = stage(spark.range(0, 200_000, 1, 2).selectExpr("id", "repeat('a long text that repeats ', 8) as text"))
+    assert lookup._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= common.BROADCAST_BYTES and not common.is_small(lookup)
+    out = common.salted_lookup(spark.range(100).withColumn("salt", F.col("id")), lookup, ["id"], ["salt"])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("text is not null").count() == 100
