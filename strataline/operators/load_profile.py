@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataline.common import salted_lookup, stage
+from strataline.common import salted_lookup, sort_join, stage
 
 #: A departure must exceed CHANCE standard errors and EFFECT in share; distributions (greatest difference of the
 #: cumulative shares) and repetition, which are smoother, must exceed SHIFT_CHANCE and SHIFT.
@@ -96,7 +96,7 @@ def induce(text: DataFrame) -> DataFrame:
     )
     shapes = shapes.withColumn("words", F.regexp_replace("shape", "[Aa]+", "w")).withColumn("groups", F.regexp_replace("words", REPEATED, f"$1{OPEN}$2$1{CLOSE}"))
     shapes = stage(shapes.withColumn("pieces", F.col("values") * runs(F.col("shape"))).withColumn("word_pieces", F.col("values") * runs(F.col("words"))))
-    totals = shapes.groupBy(*at).agg(F.sum("values").alias("total"))
+    totals = stage(shapes.groupBy(*at).agg(F.sum("values").alias("total")))
 
     def own(code: str, alphabet: int, pieces: str) -> Column:
         inner = F.col("digits") * math.log2(10) + F.col("letters") * math.log2(alphabet) + F.log2(F.col("longest") - F.col("shortest") + 1) * F.col(pieces)
@@ -106,7 +106,7 @@ def induce(text: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("values", "digits", "letters", "word_pieces")] + [F.min("shortest").alias("shortest"), F.max("longest").alias("longest")]
     free = F.col("chars") * math.log2(96) + F.col("values") * (F.log2(F.col("longest") + 1) + 1)
     # One value is no pattern: alone it is free text.
-    one = shapes.join(totals, at).withColumn("kept", (F.col("values") > 1) & (own("shape", 26, "pieces") < free)).withColumn("cost", F.when(F.col("kept"), own("shape", 26, "pieces")).otherwise(free))
+    one = salted_lookup(shapes, totals, at, ["shape"], how="inner").withColumn("kept", (F.col("values") > 1) & (own("shape", 26, "pieces") < free)).withColumn("cost", F.when(F.col("kept"), own("shape", 26, "pieces")).otherwise(free))
     two = one.groupBy(*at, "words", "groups", "total").agg(*sums, F.sum("cost").alias("apart"))
     two = two.withColumn("own", own("words", 52, "word_pieces")).withColumn("kept", (F.col("values") > 1) & (F.col("own") < F.col("apart"))).withColumn("cost", F.when(F.col("kept"), F.col("own")).otherwise(F.col("apart")))
     repeats = F.col("values") * F.log2(F.col("longest") + 1)
@@ -114,7 +114,7 @@ def induce(text: DataFrame) -> DataFrame:
     three = three.filter((F.col("values") > 1) & (own("groups", 52, "word_pieces") + repeats < F.col("apart")))
     ends = lambda rows, name: rows.select(*at, *[c for c in ("words", "groups") if c in rows.columns and name == c], F.struct("shortest", "longest").alias(f"{name}_ends"))
     out = (
-        one.join(ends(two.filter("kept"), "words"), [*at, "words"], "left").join(ends(three, "groups"), [*at, "groups"], "left")
+        sort_join(sort_join(one, ends(two.filter("kept"), "words"), [*at, "words"], "left"), ends(three, "groups"), [*at, "groups"], "left")
         .withColumn("code", F.when(F.col("groups_ends").isNotNull(), F.col("groups")).when(F.col("words_ends").isNotNull(), F.col("words")).when(F.col("kept"), F.col("shape")))
         .withColumn("ends", F.coalesce("groups_ends", "words_ends", F.struct("shortest", "longest")))
     )
@@ -194,9 +194,9 @@ def departures(values: DataFrame, counts: DataFrame, domains: dict[str, tuple[fl
     """
     shares = stage(_shares(values, counts)).withColumn("share", F.col("k") / F.col("n"))
     loads = counts.select(*UNIT, (F.col("row_count") - F.col("null_count")).alias("held"), "row_count")
-    enough = loads.groupBy("source", "column_name").agg(F.count(F.lit(1)).alias("loads"), F.count_if(F.col("held") > 0).alias("filled")).filter(F.col("loads") >= MIN_LOADS)
+    enough = stage(loads.groupBy("source", "column_name").agg(F.count(F.lit(1)).alias("loads"), F.count_if(F.col("held") > 0).alias("filled")).filter(F.col("loads") >= MIN_LOADS))
     unit = ["source", "column_name", "kind", "feature"]
-    shares = shares.filter("n > 0").join(enough, ["source", "column_name"]).withColumn("of", F.when(F.col("kind") == "null", F.col("loads")).otherwise(F.col("filled")))
+    shares = salted_lookup(shares.filter("n > 0"), enough, ["source", "column_name"], ["load", "feature"], how="inner").withColumn("of", F.when(F.col("kind") == "null", F.col("loads")).otherwise(F.col("filled")))
     # The loads without a feature are one row of their number: they all have share 0.
     present = shares.select(*unit, "of", "load", "n", "share", F.lit(1).cast("bigint").alias("weight"))
     none = [F.lit(None).cast(present.schema[c].dataType).alias(c) for c in ("load", "n")]
@@ -210,10 +210,9 @@ def departures(values: DataFrame, counts: DataFrame, domains: dict[str, tuple[fl
     # A load without a feature departs only where the feature is usual; few features of a column can be.
     usual = each.filter("load is null").filter(F.col("usual") > EFFECT).select(*unit, "usual", "spread")
     size = F.when(F.col("kind") == "null", F.col("row_count")).otherwise(F.col("held"))
-    without = (
-        usual.join(loads, ["source", "column_name"]).withColumn("n", size).filter("n > 0")
-        .join(each.filter("load is not null").select(*unit, "load"), [*unit, "load"], "left_anti")
-        .select(*unit, "load", "n", F.lit(0.0).alias("share"), "usual", "spread")
+    missing = sort_join(usual, loads, ["source", "column_name"]).withColumn("n", size).filter("n > 0")
+    without = sort_join(missing, each.filter("load is not null").select(*unit, "load"), [*unit, "load"], "left_anti").select(
+        *unit, "load", "n", F.lit(0.0).alias("share"), "usual", "spread"
     )
     each = each.filter("load is not null").select(*unit, "load", "n", "share", "usual", "spread").unionByName(without)
     # One pseudo-row keeps the error of a share of 0 or 1 above 0.
@@ -231,7 +230,7 @@ def departures(values: DataFrame, counts: DataFrame, domains: dict[str, tuple[fl
     far = (F.col("loads") >= MIN_LOADS) & ((F.col("min_value") < F.col("low") - REACH * width) | (F.col("max_value") > F.col("high") + REACH * width))
     for c, (low, high) in (domains or {}).items():
         far = far | ((F.col("column_name") == c) & ((F.col("min_value") < low) | (F.col("max_value") > high)))
-    ranged = ends.join(usual, ["source", "column_name"]).filter(far).select(*UNIT, F.lit("range").alias("reason"), F.concat_ws("..", "min_value", "max_value").alias("detail"), F.lit(None).cast("double").alias("score"))
+    ranged = sort_join(ends, usual, ["source", "column_name"]).filter(far).select(*UNIT, F.lit("range").alias("reason"), F.concat_ws("..", "min_value", "max_value").alias("detail"), F.lit(None).cast("double").alias("score"))
     return shifted.unionByName(ranged)
 
 
@@ -240,7 +239,7 @@ def reported_wrong(counts: DataFrame, reported: DataFrame) -> DataFrame:
     null figure counts as different. ``reported``: source, load, column_name, null_count, distinct_count."""
     told = reported.select(*UNIT, F.col("null_count").alias("told_null"), F.col("distinct_count").alias("told_distinct"))
     same = F.col("null_count").eqNullSafe(F.col("told_null")) & F.col("distinct_count").eqNullSafe(F.col("told_distinct"))
-    return counts.join(told, UNIT).filter(~same).select(*UNIT, F.lit("report").alias("reason"), F.concat_ws(",", "told_null", "told_distinct").alias("detail"), F.lit(None).cast("double").alias("score"))
+    return sort_join(counts, told, UNIT).filter(~same).select(*UNIT, F.lit("report").alias("reason"), F.concat_ws(",", "told_null", "told_distinct").alias("detail"), F.lit(None).cast("double").alias("score"))
 
 
 def profile(df: DataFrame, source: str, load: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,9 @@ import random
 
 import regex
 
+from strataline import common
+from strataline.common import stage
+from strataline.operators import load_profile
 from strataline.operators.load_profile import basics, conformity, departures, expressions, induce, profile, reported_wrong, value_counts
 
 COLUMNS = ["id", "name", "score", "grp"]
@@ -131,3 +134,21 @@ def test_seventy_odd_values_in_one_load_hide_nothing(spark):
 
     got = found(spark, change)
     assert {(5, "grp", "mix"), (8, "grp", "shape")} <= got
+
+
+def test_nothing_that_grows_with_the_loads_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(load_profile, "stage", written)
+    # A lookup so small that it is broadcast on purpose would hide what the planner chooses.
+    monkeypatch.setattr(common, "is_small", lambda table: False)
+    values, counts = profile(people(spark, lambda load, i, row: row[:3] + ["g9"] if load == 3 else row), "site", "load_no", COLUMNS)
+    told = counts.select("source", "load", "column_name", "null_count", (counts["distinct_count"] + 1).alias("distinct_count"))
+    out = departures(values, counts).unionByName(reported_wrong(counts, told))
+    assert {(r["load"], r["column_name"]) for r in out.collect()} >= {(3, "grp")}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
