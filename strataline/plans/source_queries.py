@@ -7,11 +7,14 @@ tables are used whole.
 from __future__ import annotations
 
 import json
+import tempfile
 import zipfile
+from contextlib import closing
 from dataclasses import dataclass
 from pathlib import Path
 from xml.sax.saxutils import escape
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,13 +164,34 @@ def _(spark, d):
     return spark.createDataFrame([(p, found(p)) for p in ("a.CSV", "b.pq", "c.ndjson", "d.xlsm", "e.txt")], "path string, format string")
 
 
-# Databases: an embedded one in memory, which comes with Spark.
+# Databases: an embedded one, which comes with Spark. Every executor opens it, so it lies in a jar file of the shared folder, where Derby only
+# reads: one in memory is seen by the process that made it alone, and a folder can be opened by one process at a time.
+
+SUPPLIER = {"s_suppkey": "BIGINT", "s_name": "CLOB", "s_acctbal": "DOUBLE"}
 
 
 def _database(spark: SparkSession, d: str) -> str:
-    url = f"jdbc:derby:memory:{Path(scratch_path(spark)).name};create=true"
-    table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal").coalesce(1).write.jdbc(url, "supplier", "overwrite")
-    return url
+    """URL of a database that has the suppliers. Tasks write them as lines, which the driver's Derby imports file by file."""
+    quoted = F.concat(F.lit('"'), F.replace(F.col("s_name"), F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.coalesce(quoted if n == "s_name" else F.col(n).cast("string"), F.lit("")) for n in SUPPLIER]  # nothing is null, "" an empty text
+    lines = scratch_path(spark)
+    table(spark, d, "supplier").select(F.concat_ws(",", *cells)).write.text(lines)
+    connect, jar = spark._jvm.java.sql.DriverManager.getConnection, _file(spark, ".jar")
+    with tempfile.TemporaryDirectory() as own:
+        with closing(connect(f"jdbc:derby:{own}/db;create=true")) as held, closing(held.createStatement()) as does:
+            does.execute(f"CREATE TABLE supplier ({','.join(f'"{n}" {kind}' for n, kind in SUPPLIER.items())})")
+            for part in sorted(Path(lines.removeprefix("file://")).glob("part-*")):
+                does.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL,'SUPPLIER','{part}',',','\"','UTF-8',0)")
+                part.unlink()
+        try:
+            connect(f"jdbc:derby:{own}/db;shutdown=true")
+        except Py4JJavaError as e:  # 08006 says that it is shut down, with nothing left to recover
+            if e.java_exception.getSQLState() != "08006":
+                raise
+        with zipfile.ZipFile(jar, "w") as packed:  # stored as they are, so that pages are found without unpacking
+            for path in sorted(p for p in Path(own).rglob("*") if p.is_file()):
+                packed.write(path, path.relative_to(own))
+    return f"jdbc:derby:jar:({jar})db"
 
 
 @query_of("db_ingest", "SELECT s_suppkey,s_name,s_acctbal FROM supplier WHERE s_acctbal>0")

@@ -1,5 +1,10 @@
 import json
+import os
+import subprocess
+import sys
 import zipfile
+from importlib.util import find_spec
+from pathlib import Path
 
 import pytest
 
@@ -136,3 +141,40 @@ def test_databases(spark):
         jdbc_options("sqlite://x")
     with pytest.raises(SchemaMismatch, match="driver"):
         ingest_from_db(spark, "mysql://h/db", "select 1", [("x", "int64")])
+
+
+CLUSTER = """
+import json, sys
+import __spark_entry__
+from pyspark.sql import SparkSession
+folder, name = sys.argv[1:]
+conf = {"spark.checkpoint.dir": f"file://{folder}/shared", "spark.executor.memory": "512m", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false"}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+print(json.dumps([list(r) for r in __spark_entry__.queries()[name](spark, folder).collect()]))
+"""
+
+
+def on_cluster(folder, name):
+    """Rows of a query whose executors are processes of their own."""
+    home, repo = folder / "home", Path(__file__).resolve().parent.parent
+    home.mkdir()
+    for p in Path(find_spec("pyspark").origin).parent.iterdir():  # the executors' logs go to Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": str(repo), "PYSPARK_PYTHON": sys.executable}
+    run = subprocess.run([sys.executable, "-c", CLUSTER, str(folder), name], env=env, cwd=folder, capture_output=True, text=True, timeout=180)
+    assert run.returncode == 0, run.stderr
+    return json.loads(run.stdout.splitlines()[-1])
+
+
+SUPPLIERS = [
+    (1, "plain", 1.5), (2, 'say "x", \\"\r\ny', 2.25), (0, "", 0.1), (None, " é€😀\t", 1e-300), (2**63 - 1, None, 1.7976931348623157e308),
+    (1001, "x" * 40000, 5e-324), (-5, "debt", -3.5), (500, "none", None), (501, "zero", 0.0),
+]
+
+
+@pytest.mark.parametrize("rows", [SUPPLIERS, []])
+def test_database_of_a_cluster(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_acctbal double").repartition(3).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = on_cluster(tmp_path, "db_ingest")
+    assert sorted(map(repr, got)) == sorted(repr(list(r)) for r in rows if (r[2] or 0) > 0)
