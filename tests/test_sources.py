@@ -178,3 +178,9 @@ def test_database_of_a_cluster(spark, tmp_path, rows):
     spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_acctbal double").repartition(3).write.parquet(f"{tmp_path}/supplier.parquet")
     got = on_cluster(tmp_path, "db_ingest")
     assert sorted(map(repr, got)) == sorted(repr(list(r)) for r in rows if (r[2] or 0) > 0)
+
+
+def test_database_of_a_cluster_read_in_parts(spark, tmp_path):
+    rows = [*SUPPLIERS, (None, None, None), (251, "", -0.25), (750, "n", 2.0)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_acctbal double").repartition(3).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert sorted(map(repr, on_cluster(tmp_path, "db_ingest_inferred"))) == sorted(repr([k, b]) for k, _, b in rows)
